@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lodestar.llm import exact_dedup
+from lodestar.llm import exact_dedup, license_scan, secret_scan
 
 QUERIES = {
+    "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op10_license_scan": license_scan.OP10_SQL,
 }
