@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lodestar.llm import exact_dedup, license_scan, secret_scan
+from lodestar.llm import byte_bpe, exact_dedup, license_scan, matroska, packing, secret_scan
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_packing": packing.op4_packing,
+    "op6_matroska": matroska.op6_matroska,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
