@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import byte_bpe, exact_dedup, license_scan, matroska, packing, secret_scan
+from lodestar.llm import byte_bpe, exact_dedup, license_scan, matroska, near_dedup, packing, secret_scan
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op6_matroska": matroska.op6_matroska,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
