@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lodestar.llm import byte_bpe, exact_dedup, license_scan, matroska, near_dedup, packing, secret_scan
+from lodestar.llm import byte_bpe, exact_dedup, language_id, license_scan, matroska, near_dedup, packing, secret_scan, toxicity
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_matroska": matroska.op6_matroska,
+    "op7_language_id": language_id.op7_language_id,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
