@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.llm import byte_bpe, exact_dedup, language_id, license_scan, matroska, near_dedup, packing, secret_scan, toxicity
+from lodestar.llm import byte_bpe, exact_dedup, language_id, license_scan, matroska, near_dedup, packing, quality, secret_scan, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
