@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def jaro_winkler(a: str, b: str, weight: float = 0.1, boost: float = 0.7) -> float:
@@ -34,12 +35,12 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1, boost: float = 0.7) -> flo
     return jaro + same * weight * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks, as the standard library defines it."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="float64")

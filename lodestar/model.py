@@ -31,7 +31,9 @@ KINDS = {k.name: k for k in (CommunityKind("entity", "__Entity__", True), Commun
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, its times without a zone read in the session's (which should be UTC)."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"})
 
 
 def key(label: str, column: str) -> F.Column:

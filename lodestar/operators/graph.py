@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge in both directions, with what else it carries."""
-    back = edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    back = edges.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in edges.columns])
     return edges.unionByName(back)
 
 
