@@ -322,12 +322,12 @@ def companies(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers and customers under company names that differ in their endings."""
     ending = lambda k: F.element_at(F.array(*[F.lit(x) for x in (" Inc.", " GmbH", "", " Holdings Ltd", ".com")]), (F.col(k) % 5 + 1).cast("int"))
     s = table(spark, sf, "supplier").select(F.lit("tpch").alias("graph_id"), model.key("Supplier", "s_suppkey").alias("id"), F.concat(F.lit("Firm "), F.floor(F.col("s_suppkey") / 3).cast("string"), ending("s_suppkey")).alias("name"), F.lit("organization").alias("type"), F.col("s_nationkey").alias("nation"))
-    c = table(spark, sf, "customer").where("c_custkey <= 60").select(F.lit("tpch").alias("graph_id"), model.key("Customer", "c_custkey").alias("id"), F.concat(F.lit("Firm  "), F.floor(F.col("c_custkey") / 3).cast("string"), ending("c_custkey")).alias("name"), F.lit("company").alias("type"), F.col("c_nationkey").alias("nation"))
+    c = table(spark, sf, "customer").select(F.lit("tpch").alias("graph_id"), model.key("Customer", "c_custkey").alias("id"), F.concat(F.lit("Firm  "), F.floor(F.col("c_custkey") / 3).cast("string"), ending("c_custkey")).alias("name"), F.lit("company").alias("type"), F.col("c_nationkey").alias("nation"))
     return s.unionByName(c)
 
 
 CO = rf"""co AS (SELECT 'supplier:' || s_suppkey AS id, 'Firm ' || (s_suppkey // 3) || [' Inc.', ' GmbH', '', ' Holdings Ltd', '.com'][s_suppkey % 5 + 1] AS name, 'organization' AS type, s_nationkey AS nation FROM supplier
-  UNION ALL SELECT 'customer:' || c_custkey, 'Firm  ' || (c_custkey // 3) || [' Inc.', ' GmbH', '', ' Holdings Ltd', '.com'][c_custkey % 5 + 1], 'company', c_nationkey FROM customer WHERE c_custkey <= 60),
+  UNION ALL SELECT 'customer:' || c_custkey, 'Firm  ' || (c_custkey // 3) || [' Inc.', ' GmbH', '', ' Holdings Ltd', '.com'][c_custkey % 5 + 1], 'company', c_nationkey FROM customer),
 ca AS (SELECT id, trim(regexp_replace(trim(regexp_replace(lower(name), '\s+', ' ', 'g')), '{C.SUFFIXES}', '')) AS canonical FROM co)"""
 
 
@@ -352,11 +352,12 @@ def consolidate_aliases(spark, sf):
     return resolve.consolidate(own, resolve.keeper_map(own)).select("id", "name", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, lower(p_name) AS n, lower(p_name)[1:4] AS b FROM part WHERE p_partkey <= 400)
+@query("""WITH p AS (SELECT min(p_partkey) AS id, lower(p_name) AS n, lower(p_name)[1:2] AS b FROM part GROUP BY p_name)
 SELECT x.id AS a, y.id AS b, round(1 - levenshtein(x.n, y.n)::DOUBLE / greatest(length(x.n), length(y.n)), 6) AS similarity FROM p x JOIN p y USING (b)
-WHERE x.id < y.id AND (round(1 - levenshtein(x.n, y.n)::DOUBLE / greatest(length(x.n), length(y.n)), 6) > 0.8 OR contains(x.n, y.n) OR contains(y.n, x.n))""")
+WHERE x.id < y.id AND (round(1 - levenshtein(x.n, y.n)::DOUBLE / greatest(length(x.n), length(y.n)), 6) > 0.6 OR contains(x.n, y.n) OR contains(y.n, x.n))""")
 def levenshtein_pairs(spark, sf):
-    return resolve.fuzzy_pairs(table(spark, sf, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), prefix=4)
+    names = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))  # equal names are one, so blocks stay small
+    return resolve.fuzzy_pairs(names, 0.6, prefix=2)
 
 
 @query("""SELECT a.n_name AS a, b.n_name AS b, round(jaro_winkler_similarity(lower(a.n_name), lower(b.n_name)), 6) AS similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name""")
@@ -379,10 +380,10 @@ def sameas_score_bands(spark, sf):
 def regional(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as nodes of five tenants, their regions."""
     where = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")).alias("graph_id"))
-    return table(spark, sf, "customer").join(where, "c_nationkey").select("graph_id", model.key("Customer", "c_custkey").alias("id"), F.concat(F.lit("Client "), (F.col("c_custkey") % 40).cast("string")).alias("name"), F.col("c_mktsegment").alias("type"))
+    return table(spark, sf, "customer").join(where, "c_nationkey").select("graph_id", model.key("Customer", "c_custkey").alias("id"), F.concat(F.lit("Client "), F.floor(F.col("c_custkey") / 3).cast("string")).alias("name"), F.col("c_mktsegment").alias("type"))
 
 
-RG = """rg AS (SELECT 'region-' || n_regionkey AS graph_id, 'customer:' || c_custkey AS id, 'Client ' || (c_custkey % 40) AS name, c_mktsegment AS type FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+RG = """rg AS (SELECT 'region-' || n_regionkey AS graph_id, 'customer:' || c_custkey AS id, 'Client ' || (c_custkey // 3) AS name, c_mktsegment AS type FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
 
 
 @query(f"""WITH {RG}, k AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY id) AS k FROM rg WHERE contains(lower(name), 'client 1') AND graph_id IN ('region-0', 'region-2', 'region-4')) SELECT graph_id, id, name FROM k WHERE k <= 5""")
@@ -390,10 +391,9 @@ def federated_search_capped(spark, sf):
     return resolve.federated_search(regional(spark, sf), ["region-0", "region-2", "region-4"], "Client 1", 5).select("graph_id", "id", "name")
 
 
-@query(f"""WITH {RG} SELECT x.id AS a, y.id AS b, round(0.4 + CASE WHEN lower(x.type) = lower(y.type) THEN 0.3 ELSE 0 END, 6)::DOUBLE AS score FROM rg x JOIN rg y ON x.name = y.name AND x.graph_id < y.graph_id WHERE x.graph_id = 'region-0' AND y.graph_id = 'region-1'""")
+@query(f"""WITH {RG} SELECT x.id AS a, y.id AS b, round(0.4 + CASE WHEN lower(x.type) = lower(y.type) THEN 0.3 ELSE 0 END, 6)::DOUBLE AS score FROM rg x JOIN rg y ON x.name = y.name AND x.graph_id < y.graph_id""")
 def federation_candidates(spark, sf):
-    own = regional(spark, sf).where(F.col("graph_id").isin("region-0", "region-1"))
-    return resolve.federation_candidates(own).select("a", "b", F.round("score", 6).alias("score"))
+    return resolve.federation_candidates(regional(spark, sf)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {RG} SELECT lower(name) AS name, lower(type) AS type, count(*) AS pairs FROM (SELECT x.name, x.type FROM rg x JOIN rg y ON x.name = y.name AND x.type = y.type AND x.graph_id < y.graph_id) GROUP BY ALL""")
@@ -445,9 +445,9 @@ def khop_reach(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {ES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), p(s, v, d, path) AS (SELECT 'customer:1', 'customer:1', 0, ['customer:1'] UNION ALL SELECT s, u.dst, d + 1, list_append(path, u.dst) FROM p JOIN u ON u.src = p.v WHERE d < 4 AND NOT list_contains(path, u.dst) AND u.dst NOT LIKE 'customer:%')
-SELECT s AS start, v AS finish, min(d) AS hops, arg_min(array_to_string(path, '>'), (d, path)) AS path FROM p WHERE v IN ('supplier:1', 'supplier:2', 'region:0', 'region:1', 'nation:3') GROUP BY s, v""")
+SELECT s AS start, v AS finish, min(d) AS hops, arg_min(array_to_string(path, '>'), (d, path)) AS path FROM p WHERE v <> s AND v NOT LIKE 'customer:%' GROUP BY s, v""")
 def shortest_path(spark, sf):
-    pairs = spark.createDataFrame([("customer:1", f) for f in ("supplier:1", "supplier:2", "region:0", "region:1", "nation:3")], "start string, finish string")
+    pairs = model.nodes(spark, sf, ["Region", "Nation", "Supplier"]).select(F.lit("customer:1").alias("start"), F.col("id").alias("finish"))
     return traverse.shortest_paths(model.edges(spark, sf, SMALL), pairs, 4).select("start", "finish", "hops", F.array_join("path", ">").alias("path"))
 
 
@@ -459,12 +459,13 @@ def simple_paths(spark, sf):
     return found.select("finish", "hops", F.array_join("path", ">").alias("path"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 12 AS src, l_partkey % 12 AS dst FROM lineitem WHERE l_orderkey <= 40 AND l_suppkey % 12 <> l_partkey % 12),
-p(s, v, d, path) AS (SELECT src, dst, 2, [src, dst] FROM e WHERE dst > src UNION ALL SELECT s, e.dst, d + 1, list_append(path, e.dst) FROM p JOIN e ON e.src = p.v WHERE d < 4 AND e.dst > s AND NOT list_contains(path, e.dst))
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey),
+p(s, v, d, path) AS (SELECT src, dst, 2, [src, dst] FROM e WHERE dst > src UNION ALL SELECT s, e.dst, d + 1, list_append(path, e.dst) FROM p JOIN e ON e.src = p.v WHERE d < 3 AND e.dst > s AND NOT list_contains(path, e.dst))
 SELECT d AS hops, array_to_string(path, '>') AS path FROM p JOIN e ON e.src = p.v AND e.dst = p.s""")
 def cycles_bounded(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_orderkey <= 40").select((F.col("l_suppkey") % 12).alias("src"), (F.col("l_partkey") % 12).alias("dst"))
-    return traverse.cycles(e, 4).select("hops", F.array_join("path", ">").alias("path"))
+    """Rings of two or three nations whose suppliers serve the next one's customers."""
+    items = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return traverse.cycles(items.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")), 3).select("hops", F.array_join("path", ">").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {ES}, r(id, d) AS (SELECT 'customer:1', 0 UNION ALL SELECT edges.dst, d + 1 FROM r JOIN edges ON edges.src = r.id) SELECT id, d AS distance FROM r""")
@@ -517,9 +518,9 @@ def community_list(spark, sf):
     return community.community_list(two_levels(spark, sf), offset=2, limit=10)
 
 
-@query(f"""WITH {TL} SELECT community_id, count(*) AS hits FROM tl WHERE level = 1 AND member_id IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey <= 50) GROUP BY community_id HAVING count(*) >= 2 ORDER BY hits DESC, community_id LIMIT 3""")
+@query(f"""WITH {TL} SELECT community_id, count(*) AS hits FROM tl WHERE level = 1 AND member_id IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY community_id HAVING count(*) >= 2 ORDER BY hits DESC, community_id LIMIT 3""")
 def community_hits(spark, sf):
-    return community.hits(two_levels(spark, sf), model.nodes(spark, sf, ["Customer"]).where("cast(substring(id, 10) as int) <= 50"))
+    return community.hits(two_levels(spark, sf), model.nodes(spark, sf, ["Customer"]).where(F.col("props")["c_mktsegment"] == "BUILDING"))
 
 
 @query(f"""WITH {TL}, live AS (SELECT 'customer:' || c_custkey AS id FROM customer UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier)
@@ -658,11 +659,11 @@ def permission_check(spark, sf):
     return access.permitted(grants, permissions, parents, owners, at(NOW), "write")
 
 
-@query(r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^([A-Z])', '## \1', 'g'), chr(10)) AS ls FROM documents WHERE doc_id < 200),
+@query(r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^([A-Z])', '## \1', 'g'), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(len(ls)))::INT AS "at", unnest(ls) AS line FROM d)
 SELECT doc_id, "at", 2 AS level, regexp_extract(line, '^(#{1,6})\s+(.+?)\s*$', 2) AS heading FROM l WHERE regexp_matches(line, '^(#{1,6})\s+(.+?)\s*$')""")
 def md_sections(spark, sf):
-    docs = table(spark, sf, "documents").where("doc_id < 200").select("doc_id", F.regexp_replace("text", "(?m)^([A-Z])", "## $1").alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "(?m)^([A-Z])", "## $1").alias("text"))
     return files.markdown_sections(docs).select("doc_id", "at", "level", "heading")
 
 
@@ -744,11 +745,10 @@ def content_blobs(spark, sf):
 
 def code_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Parts and suppliers as functions that call each other."""
-    items = table(spark, sf, "lineitem").where("l_orderkey <= 200")
-    return items.select(F.concat(F.lit("m.s"), (F.col("l_suppkey") % 30).cast("string")).alias("src"), F.concat(F.lit("m.p"), (F.col("l_partkey") % 50).cast("string")).alias("dst"), F.lit("CALLS").alias("type"))
+    return table(spark, sf, "lineitem").select(F.concat(F.lit("m.s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("m.p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("CALLS").alias("type"))
 
 
-CE = """ce AS (SELECT 'm.s' || (l_suppkey % 30) AS src, 'm.p' || (l_partkey % 50) AS dst FROM lineitem WHERE l_orderkey <= 200)"""
+CE = """ce AS (SELECT 'm.s' || l_suppkey AS src, 'm.p' || l_partkey AS dst FROM lineitem)"""
 
 
 @query(f"""WITH {CE} SELECT DISTINCT src AS symbol FROM ce WHERE dst = 'm.p7' ORDER BY symbol LIMIT 100""")
