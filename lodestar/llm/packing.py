@@ -45,6 +45,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+def _latin(part: str) -> bool:
+    return max(part) < "\u0250" and "\u0130" not in part
+
+
 class PartEncoder:
     """Texts to ids as little-endian unsigned 32-bit bytes, by a tokenizers file whose tokens never span white space."""
 
@@ -55,17 +59,34 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        self.last = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}  # ids that end a word
 
     def _encode(self, parts: list[str]) -> None:
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(e.ids, "<u4").tobytes()
+        """Words of ASCII letters need the library's merges alone; other Latin words go in runs, cut where a word ends; the rest one by one."""
+        model, latin, rest = self.tokenizer.model, [], []
+        for p in parts:
+            if p.isascii() and p.islower() and p.isalpha():
+                self.known[p] = np.array([t.id for t in model.tokenize(p)], "<u4").tobytes()
+            else:
+                (latin if p.isalpha() and _latin(p) else rest).append(p)
+        for a in range(0, len(latin), 64):
+            run = latin[a : a + 64]
+            ids = self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids
+            ends = [i + 1 for i, x in enumerate(ids) if x in self.last]
+            if len(ends) != len(run):
+                rest += run
+                continue
+            for p, i, j in zip(run, [0, *ends], ends, strict=False):
+                self.known[p] = np.array(ids[i:j], "<u4").tobytes()
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, missing: set[str]) -> None:
         """Latin letters before one full stop or comma are encoded apart from it, as the tokenizer does, and so once for both.
 
         The dotted capital I isn't among them: its lower case ends with a mark, which the tokenizer keeps with what follows.
         """
-        ends = {p for p in missing if p[-1] in ".," and p[:-1].isalpha() and max(p) < "\u0250" and "\u0130" not in p}
+        ends = {p for p in missing if p[-1] in ".," and p[:-1].isalpha() and _latin(p)}
         stems = {p[:-1] for p in ends} | {".", ","} | (missing - ends)
         self._encode([p for p in stems if p not in self.known])
         for p in ends:
