@@ -47,7 +47,7 @@ def ingest_records(records: DataFrame, id_field: str, label: str, relationships:
     for column, kind in relationships.items():
         many = records.schema[column].dataType.simpleString().startswith("array")
         target = F.explode(column) if many else F.col(column)
-        part = own.select(F.col(id_field).cast("string").alias("src"), target.cast("string").alias("dst")).where("dst is not null").withColumn("type", F.lit(kind))
+        part = own.select(F.col(id_field).cast("string").alias("src"), target.alias("dst")).withColumn("dst", F.col("dst").cast("string")).where("dst is not null").withColumn("type", F.lit(kind))
         edges = part if edges is None else edges.unionByName(part)
     if edges is not None:
         stubs = edges.select(F.col("dst").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")

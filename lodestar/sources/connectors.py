@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
+from urllib.parse import urlencode
+from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +65,7 @@ def pages(fetch: Callable[[dict], tuple[object, dict]], style: str, size: int, p
 
 
 class RestSource(DataSource):
-    """format("lodestar_rest"): option fetcher is the import path module:function of a fetch function; style, size and path as in pages()."""
+    """format("lodestar_rest"): option url, or fetcher, the import path module:function of a fetch function that workers have; style, size and path as in pages()."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,9 +81,17 @@ class RestSource(DataSource):
         return _RestStream(dict(self.options))
 
 
-def _fetcher(options: dict) -> Callable:
-    import importlib
+def http_get(url: str, params: dict) -> tuple[object, dict]:
+    """A page of a feed as JSON, and its headers in lower case. A url among the parameters, as a link header gives it, replaces the feed's."""
+    own = {k: v for k, v in params.items() if v is not None and k != "url"}
+    at = params.get("url") or url + ("&" if "?" in url else "?") * bool(own) + urlencode(own)
+    with urlopen(at, timeout=60) as r:
+        return json.load(r), {k.lower(): v for k, v in r.headers.items()}
+
 
+def _fetcher(options: dict) -> Callable:
+    if "fetcher" not in options:
+        return partial(http_get, options["url"])
     module, _, name = options["fetcher"].partition(":")
     return getattr(importlib.import_module(module), name)
 
