@@ -12,6 +12,8 @@ from pyspark.sql.utils import AnalysisException
 
 #: A side is broadcast only when it has been counted and holds no more rows than this.
 BROADCAST_ROWS = 250_000
+#: What goes to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 _fallback: tempfile.TemporaryDirectory | None = None
 
@@ -28,8 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _fallback.name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold what goes to a Python worker at once to BATCH_ROWS rows and BATCH_BYTES, however long texts are, unless the session has less."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path under the shared folder. What lies there is needed until the result that reads it has been used."""
+    small_batches(spark)
     return f"{shared_dir(spark)}/lodestar/{what}-{uuid.uuid4().hex}"
 
 
@@ -41,6 +51,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
