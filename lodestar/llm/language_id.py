@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bounded, crc32_bucket, documents, located, stored
+from lodestar.llm.common import bounded, crc32_bucket, documents, located, released, stored
 from lodestar.llm.subword import Grams, Softmax, Words, parts, sampled
 
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 17, 12
@@ -123,7 +123,7 @@ def language_id(docs: DataFrame, model: LanguageModel, keys: list[str]) -> DataF
             cols = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == UNKNOWN or s < m.bound for x, s in found], pa.bool_())]
             yield pa.record_batch([*kept, *cols], [f"k{i}" for i in range(len(keys))] + ["lang_pred", "score", "rejected"])
 
-    made = slim.mapInArrow(run, f"{schema}, {PREDICTED}")
+    made = slim.mapInArrow(released(run), f"{schema}, {PREDICTED}")
     return made.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "lang_pred", "score", "rejected")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bounded, documents, stored
+from lodestar.llm.common import bounded, documents, released, stored
 
 WORDS, NUM, DEN = 5, 75, 100  # 100 * intersection >= 75 * union
 SLOTS, TREES, LEAF, DEPTH, LOOKS = 128, 16, 512, 5, 74
@@ -99,7 +99,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 low = [r.tobytes() for r in m.astype(np.uint8)]
                 yield pa.record_batch([batch.column("doc_id").slice(a, 500), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists, pa.array(low, pa.binary())], ["doc_id", "n_shingles", "set_id", "tokens", "low"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCHES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), SKETCHES)
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -207,7 +207,7 @@ def candidate_links(reps: DataFrame, leaf: int = LEAF) -> DataFrame:
         sizes = rows.groupBy("node").count().where("count > 1")
         rows = stored(rows.join(sizes, "node"), "nodes")
         small = rows.where(F.col("count") <= leaf).select("node", "id").join(reps.select("id", "low"), "id")
-        found.append(small.repartition("node").sortWithinPartitions("node", "id").mapInArrow(compare_leaves, LINKS))
+        found.append(small.repartition("node").sortWithinPartitions("node", "id").mapInArrow(released(compare_leaves), LINKS))
         large = rows.where(F.col("count") > leaf).select("node", "id")
         if large.isEmpty():
             break
@@ -292,7 +292,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column("id").slice(a, 200), pa.array([tokens(s).astype(np.uint8).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "low", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded(wanted), "id")
-    return texts.select("id", "text").mapInArrow(run, "id long, low binary, shingles binary")
+    return texts.select("id", "text").mapInArrow(released(run), "id long, low binary, shingles binary")
 
 
 CONFIRMED = "id long, root long"
@@ -316,7 +316,7 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, links: DataFrame, block_do
     sets = stored(sets, "sets") if several else sets
 
     def checked(at: DataFrame) -> DataFrame:
-        return sets.join(at, "id").repartition("component", "block").sortWithinPartitions("component", "block", "id").mapInArrow(confirm, CONFIRMED)
+        return sets.join(at, "id").repartition("component", "block").sortWithinPartitions("component", "block", "id").mapInArrow(released(confirm), CONFIRMED)
 
     found = stored(checked(placed.withColumn("part", F.col("id"))), "confirmed")
     if not several:

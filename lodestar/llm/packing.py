@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import documents, stored
+from lodestar.llm.common import documents, released, stored
 
 SEQUENCE = 2048
 END_ID = 0
@@ -250,7 +250,7 @@ def place(table: dict[str, np.ndarray], before: np.ndarray):
 def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """One row for each piece of each row of docs: where it begins in its text's ids, and its sequence and offset there."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    pieces = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut(path, size), PIECES), "pieces")
+    pieces = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(cut(path, size)), PIECES), "pieces")
     local = stored(pieces.groupBy("part", "length").count(), "lengths")
     histogram = np.zeros(size + 1, np.int64)
     for length, n in local.groupBy("length").agg(F.sum("count")).collect():  # at most size rows

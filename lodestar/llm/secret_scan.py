@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bounded, documents, located, scratch, stored
+from lodestar.llm.common import bounded, documents, located, released, scratch, stored
 
 #: The rules by kind, in the order in which kinds are listed: version, pattern, least length and the group it holds for.
 RULES: dict[str, tuple[int, str, int, int]] = {
@@ -107,7 +107,7 @@ def scan_into(docs: DataFrame, ledger: Ledger, rules: dict = RULES) -> DataFrame
         fresh = texts.join(bounded(rest, total - n), ["file", "row"], "left_anti").select("text")
     else:
         fresh = texts.join(bounded(todo, n), ["file", "row"]).select("text", "todo")
-    ledger.add(fresh.mapInArrow(_scan(rules), LEDGER_TYPE))
+    ledger.add(fresh.mapInArrow(released(_scan(rules)), LEDGER_TYPE))
     return paths
 
 
