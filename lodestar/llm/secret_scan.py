@@ -23,13 +23,22 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import bounded, documents, located, released, scratch, stored
 
+#: A private key: from its first line to its END line, whatever stands between but another such line. Where END is missing, over
+#: the header lines (Proc-Type and such) and base64 lines that follow, the last of which may be short; a line may end in a
+#: written \n, stand in quotes or be indented, as in JSON and source code.
+_GAP = r"""(?:\s|\\+[nrt]|["'+>#*|,])"""
+_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:(?:{_GAP}+[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*)*(?:{_GAP}+[A-Za-z0-9+/]{{16,}}={{0,2}})+)?(?:{_GAP}+[A-Za-z0-9+/]+(?:={{1,2}}|(?=[\"']?[\x20\t]*(?:[\r\n]|\\+[nr]|\Z))))?)"
+)
+
 #: The rules by kind, in the order in which kinds are listed: version, pattern, least length and the group it holds for.
 RULES: dict[str, tuple[int, str, int, int]] = {
     "assign": (1, r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
     "access": (1, r"AKIA[A-Z0-9]+", 18, 0),
     "hex": (1, r"[0-9a-f]{16,}", 16, 0),
     "jwt": (1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30, 0),
-    "pem": (1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27, 0),
+    "pem": (3, _PEM, 27, 0),
 }
 BASE = ("assign", "access", "hex")
 KINDS = list(RULES)

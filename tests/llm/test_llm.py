@@ -143,6 +143,24 @@ def test_redaction(spark):
     assert got == {1: ("x <secret:assign> y", 19), 2: ("clean", 5)}
 
 
+KEY = [base64.b64encode(random.Random(k).randbytes(48)).decode() for k in range(6)] + ["q83vEjRWeJA="]
+
+
+def test_redaction_leaves_nothing_of_a_private_key(spark):
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    secret = {"lines": "\n".join([head, *KEY, tail]), "crlf": "\r\n".join([head, *KEY, tail]), "json": "\\n".join([head, *KEY, tail]), "indented": "\n    ".join([head, *KEY, tail]), "one line": " ".join([head, *KEY, tail]), "literals": '\\n" +\n  "'.join([head, *KEY, tail])}
+    secret |= {"encrypted": "\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *KEY, tail])}
+    secret |= {f"{k} without END": v[: -len(tail)].rstrip() for k, v in secret.items() if k != "literals"}
+    secret |= {"cut": "\n".join([head, *KEY[:3], KEY[3][:7]]), "cut early": head + "\n" + KEY[0][:9], "header": head}
+    docs = spark.createDataFrame([(i, f"before {t}\nThese words stay: all of them.", "en", "s", 0) for i, t in enumerate(secret.values())], DOCS)
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(docs).collect()}
+    for i, name in enumerate(secret):
+        assert re.fullmatch(r"before <secret:pem>(?:\s|\\n)*These words stay: all of them\.", got[i]), (name, got[i])
+    two = "\n".join([head, *KEY, "words between", head, *KEY, tail, "after"])
+    assert [two[b:][:9].strip() for _, b in secret_scan.find("pem", two)] == ["words be", "after"]
+    assert secret_scan.RULES["pem"][0] > 1 and secret_scan.find("pem", "-----BEGIN PUBLIC KEY-----\n" + KEY[0]) == []
+
+
 # Packing
 
 
