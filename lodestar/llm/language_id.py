@@ -6,8 +6,11 @@ too. On texts kept from training a temperature is fitted to the scores, and the
 share REJECT of those texts falls, at most HIGHEST_BOUND. A text is rejected when its score is below the bound, or when it has no
 letter.
 
-Trained on the driver on at most SAMPLE texts of up to SAMPLE_CHARACTERS characters; every whole text is predicted on the
-executors. Languages, sources and doc_ids are no inputs of a prediction.
+The languages are those of all labelled rows outside the fifth that is held out for tests. Trained on the driver on a sample by
+language: all rows of a language with at most its quota, which is the largest one with which about SAMPLE rows are taken in
+all, and at least LEAST; of a longer text SAMPLE_CHARACTERS characters, from its first letter on. Every language has texts in
+training, and with two or more also among those kept from it. Every whole text is predicted on the executors. Languages,
+sources and doc_ids are no inputs of a prediction. A language that only held-out rows have can't be learned.
 
 Defined results: a null text and one without a letter are und with score 0 and rejected. Without any label all texts are und.
 """
@@ -19,13 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import bounded, crc32_bucket, documents, located, released, stored
-from lodestar.llm.subword import Grams, Softmax, Words, parts, sampled
+from lodestar.llm.subword import Grams, Softmax, Words, parts
 
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 17, 12
-SAMPLE, SAMPLE_CHARACTERS = 3000, 30_000
+#: Rows in all that the quotas of languages aim at, the least quota, and the characters of a text.
+SAMPLE, LEAST, SAMPLE_CHARACTERS = 3000, 50, 30_000
 STEPS, BATCH, RATE = 900, 48, 0.3
 #: The share of texts kept from training that the bound rejects at most, and the highest bound.
 REJECT, HIGHEST_BOUND = 0.001, 0.4
@@ -62,7 +67,10 @@ def train(texts: list[str], names: list[str], seed: int = 5) -> LanguageModel:
     y = np.array([languages.index(n) for n in names])
     words = Words(_GRAMS, texts)
     there = np.array([i for i, t in enumerate(words.texts) if len(t)], np.int64)
-    kept = rng.random(len(there)) < 0.2
+    kept = np.zeros(len(there), bool)
+    for k in range(len(languages)):
+        own = rng.permutation(np.flatnonzero(y[there] == k))
+        kept[own[: max(1, round(len(own) / 5))] if len(own) > 1 else own[:0]] = True
     learn, held = there[~kept], there[kept]
     if not len(learn) or not len(held):
         learn = held = there
@@ -99,10 +107,31 @@ def train(texts: list[str], names: list[str], seed: int = 5) -> LanguageModel:
     return out
 
 
-def labelled_sample(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[str]]:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    rows = rows.where((crc32_bucket("doc_id", 5) != 0) & (F.length("text") <= SAMPLE_CHARACTERS))
-    found = sorted(sampled(rows, "doc_id", most).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))  # bounded by most
+def quota(counts: list[int], most: int, least: int) -> int:
+    """The largest number of rows of each language with which about most are taken in all, and at least least."""
+    left = most
+    for i, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - i)
+        if n > share:
+            return max(share, least)
+        left -= n
+    return max([least, *counts])
+
+
+def labelled_sample(docs: DataFrame, most: int = SAMPLE, least: int = LEAST) -> tuple[list[str], list[str]]:
+    """Texts and languages of rows of every language: all of them, or about as many as the quota, by a hash of the row."""
+    rows = located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "_row").where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    rows = rows.where(crc32_bucket("doc_id", 5) != 0)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    if not counts:
+        return [], []
+    most_each = quota(list(counts.values()), most, least)
+    below = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, most_each / n))))])
+    drawn = rows.withColumn("_hash", F.pmod(F.xxhash64("doc_id", "_row", "text", F.lit(11)), F.lit(1 << 30))).where(F.col("_hash") < below[F.col("lang")])
+    place = F.row_number().over(W.partitionBy("lang").orderBy("_hash"))
+    drawn = drawn.withColumn("text", F.substring(F.regexp_replace("text", "^\\P{L}+", ""), 1, SAMPLE_CHARACTERS)).withColumn("_place", place)
+    drawn = drawn.where(F.col("_place") <= most_each * 5 // 4).select("doc_id", "text", "lang")
+    found = sorted(drawn.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))  # bounded by the quotas
     return [r["text"] for r in found], [r["lang"] for r in found]
 
 

@@ -334,6 +334,22 @@ def test_languages_on_held_out_rows(spark, odd, none):
     assert language_id.drop_rejected(none).count() == 0 and model.predict("1234 !") == ("und", 0.0)
 
 
+def test_rare_languages_and_long_texts_are_learned(spark):
+    rng = random.Random(8)
+    words = {"en": "the and of river stone green", "cy": "ynys mynydd afon gwyrdd llwyd", "eu": "etxea mendia ibaia berdea zuria", "fi": "joki vuori talo vihrea kivi"}
+    text = lambda k, n=30: " ".join(rng.choice(words[k].split()) for _ in range(n))
+    rows = [(i, text("en"), "en") for i in range(4000)] + [(9000 + i, text("cy"), "cy") for i in range(4)] + [(9100 + i, "1 " * 20_000 + text("eu", 9000), "eu") for i in range(4)] + [(9200, text("fi"), "fi")]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in rows], DOCS)
+    texts, names = language_id.labelled_sample(docs, most=100, least=5)
+    learnable = Counter(k for i, _, k in rows if zlib.crc32(str(i).encode()) % 5)
+    assert {k: n for k, n in Counter(names).items() if k != "en"} == {k: n for k, n in learnable.items() if k != "en"} and 60 <= names.count("en") <= 125
+    assert all(len(t) <= language_id.SAMPLE_CHARACTERS and t[0].isalpha() for t in texts)
+    model = language_id.train(texts, names)
+    assert set(model.languages) == set(learnable) >= {"en", "cy", "eu"}
+    assert all(model.predict(text(k))[0] == k for k in ("en", "cy", "eu"))
+    assert language_id.quota([10, 4000], 100, 5) == 90 and language_id.quota([10, 20], 100, 5) >= 20 and language_id.quota([400] * 50, 100, 5) == 5
+
+
 def test_toxic_words_and_their_misspellings():
     rng = random.Random(3)
     words = ["alpha", "river", "stone", "green", "window", "paper", "seven", "garden", "music", "letter"]
