@@ -1,13 +1,18 @@
 """Quality by an interpolated modified Kneser-Ney model over characters, trained on trusted text.
 
-Characters are written in an alphabet of 64 symbols (letters as they are, digits, white space and rarer signs by class), so an
-n-gram is a number of 6 n bits, and everything below the highest order, 4, has at most 64^3 entries whatever the corpus holds.
-
-1. All trusted texts are counted: 4-grams by their number, pre-added in each task; shorter ones by how many symbols come
-   before them. Three discounts for each order come from the counts of counts.
-2. Documents are scored by sharded joins. A block of ROWS rows asks once for each 4-gram that it has, dealt out over SHARDS;
-   each shard of questions meets the same shard of the counts, and the interpolated probability goes back to its block, where
-   it meets the block's texts, compressed. Only the lower orders' tables, of a fixed size, are broadcast.
+A character's probability has two factors. The first is that of its symbol in an alphabet of 64 (letters as they are, digits,
+white space and rarer signs by class), so an n-gram of symbols is a number of 6 n bits, and everything below the highest order,
+4, has at most 64^3 entries whatever the corpus holds. The second, for the two symbols that stand for many code points (other
+letters, other signs), is that of the code point within its symbol, given up to three code points before it, by Witten and
+Bell's interpolation over hashed n-grams of code points; so text of any script is told apart. Digits and white space are one
+symbol each.
+
+1. All trusted texts are counted: 4-grams of symbols by their number, pre-added in each task; shorter ones by how many symbols
+   come before them. Three discounts for each order come from the counts of counts. n-grams that end in a code point of the two
+   symbols are counted for all orders, and their contexts by number and by how many code points follow.
+2. Documents are scored by sharded joins. A block of ROWS rows asks once for each n-gram that it has, dealt out over SHARDS, or
+   over SPELLED of code points; each shard of questions meets the same shard of the counts, and the answer goes back to its
+   block, where it meets the block's texts, compressed. Only the lower orders' tables of symbols, of a fixed size, are broadcast.
 3. A document is kept if its perplexity lies between two quantiles of that of the trusted texts of its language, widened by
    SLACK; languages without trusted texts are held to those of all.
 
@@ -32,6 +37,10 @@ from lodestar.llm.common import bounded, documents, located, stored
 ORDER, ROWS, SHARDS = 4, 1024, 64
 LOW, HIGH, SLACK = 0.001, 0.999, 1.25
 CODES, LOWER = 1 << 24, 1 << 18
+#: The first symbol that stands for many code points, and shards of n-grams of code points.
+MANY, SPELLED = 62, 512
+
+_P = np.random.default_rng(99).integers(0, 2**62, 3, np.uint64) * np.uint64(2) + np.uint64(1)
 
 _SYMBOLS: np.ndarray | None = None
 
@@ -56,14 +65,47 @@ def symbols() -> np.ndarray:
     return _SYMBOLS
 
 
-def written(text: str | None) -> np.ndarray:
-    """A text's symbols in lower case, runs of white space as one, none at its ends."""
-    s = symbols()[np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+def spelled(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's symbols and code points in lower case, runs of white space as one, none at its ends."""
+    c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = symbols()[c]
     space = s == 1
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
-    s = s[keep]
-    return s[int(len(s) and s[0] == 1) : len(s) - int(len(s) > 1 and s[-1] == 1)] if len(s) else s
+    s, c = s[keep], c[keep]
+    cut = slice(int(len(s) and s[0] == 1), len(s) - int(len(s) > 1 and s[-1] == 1)) if len(s) else slice(0)
+    return s[cut], c[cut]
+
+
+def written(text: str | None) -> np.ndarray:
+    return spelled(text)[0]
+
+
+def hashed(s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of symbols that stand for many code points; hashes of the n-grams that end there and of their contexts, a row for each order."""
+    at = np.flatnonzero(s >= MANY)
+    c = np.where(s == 1, 32, np.where(s == 2, 48, c)).astype(np.uint64)
+    c = np.concatenate([np.zeros(ORDER - 1, np.uint64), c])
+    grams, contexts = np.empty((ORDER, len(at)), np.uint64), np.empty((ORDER, len(at)), np.uint64)
+    with np.errstate(over="ignore"):
+        h = (s[at].astype(np.uint64) + np.uint64(1)) * _P[0]  # the symbol itself is known
+        for n in range(ORDER):
+            if n:
+                h = (h ^ c[at + ORDER - 1 - n]) * _P[0]
+                h ^= h >> np.uint64(29)
+            for out, x in ((contexts, np.uint64(n)), (grams, (c[at + ORDER - 1] + np.uint64(1)) << np.uint64(3) | np.uint64(n))):
+                g = (h ^ x * _P[1]) * _P[2]
+                g ^= g >> np.uint64(32)
+                out[n] = g * _P[1]
+    return at, grams, contexts
+
+
+def spelling(symbol: np.ndarray, n: np.ndarray, total: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """Probability of code points within their symbol, from the counts of n-grams and contexts, a row for each order."""
+    p = 1 / np.bincount(symbols(), minlength=64)[symbol]
+    for k in range(ORDER):
+        p = np.where(total[k] > 0, (n[k] + types[k] * p) / np.maximum(total[k] + types[k], 1), p)
+    return p
 
 
 def codes(s: np.ndarray) -> np.ndarray:
@@ -84,6 +126,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(some[a : a + 100_000].astype(np.int32)), pa.array(total[some[a : a + 100_000]].astype(np.int64))], ["gram", "n"])
 
 
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text"):
+            s, c = spelled(text.as_py())
+            if (s >= MANY).any():
+                _, grams, contexts = hashed(s, c)
+                some, first, n = np.unique(grams.reshape(-1), return_index=True, return_counts=True)
+                yield pa.record_batch([pa.array(some.view(np.int64)), pa.array(contexts.reshape(-1)[first].view(np.int64)), pa.array(n.astype(np.int64))], ["key", "context", "n"])
+
+
 def discounts(ones: dict[int, int]) -> np.ndarray:
     """What is taken from counts of one, two, and three or more, from how many n-grams have each count up to four."""
     k = [ones.get(i, 0) for i in range(1, 5)]
@@ -110,10 +162,10 @@ def lower_orders(trigrams: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """4-gram counts as a table over the cluster, and arrays of fixed size for all that lies below."""
+    """4-gram counts as a table over the cluster, arrays of fixed size for all that lies below, and a table of the counts of code points."""
 
-    def __init__(self, counts: DataFrame, lower: np.ndarray, total: np.ndarray, weight: np.ndarray, cut: np.ndarray) -> None:
-        self.counts, self.small = counts, (lower.astype(np.float32), total.astype(np.float64), weight.astype(np.float32), cut)
+    def __init__(self, counts: DataFrame, lower: np.ndarray, total: np.ndarray, weight: np.ndarray, cut: np.ndarray, spellings: DataFrame) -> None:
+        self.counts, self.spellings, self.small = counts, spellings, (lower.astype(np.float32), total.astype(np.float64), weight.astype(np.float32), cut)
 
 
 def train(trusted: DataFrame) -> Model | None:
@@ -128,7 +180,9 @@ def train(trusted: DataFrame) -> Model | None:
         total[r["k"]], held[r["k"]] = r["n"], r["d"]
     if not preceded.any():
         return None
-    return Model(counts, lower_orders(preceded), total, np.divide(held, total, out=np.ones(LOWER), where=total > 0), cut)
+    found = stored(trusted.select("text").mapInArrow(_spell, "key long, context long, n long").groupBy("key", "context").agg(F.sum("n").alias("n")), "spellings")
+    spellings = found.select("key", "n", F.lit(0).cast("long").alias("types")).union(found.groupBy("context").agg(F.sum("n"), F.count("*")))
+    return Model(counts, lower_orders(preceded), total, np.divide(held, total, out=np.ones(LOWER), where=total > 0), cut, spellings)
 
 
 def interpolated(small: tuple, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -151,24 +205,26 @@ def _open(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[int], list[np.ndarray]]]:
-    """file, block, rows and symbols of runs of rows in one block, as they come."""
-    now, rows, held = None, [], []
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[int], list[np.ndarray], list[np.ndarray]]]:
+    """file, block, rows, symbols and code points of runs of rows in one block, as they come."""
+    now, rows, held, points = None, [], [], []
     for batch in batches:
         for file, block, row, text in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
             if now != (file, block) or sum(map(len, held[-1:])) > 8_000_000:
                 if rows:
-                    yield (*now, rows, held)
-                now, rows, held = (file, block), [], []
+                    yield (*now, rows, held, points)
+                now, rows, held, points = (file, block), [], [], []
+            s, c = spelled(text.as_py())
             rows.append(row)
-            held.append(written(text.as_py()))
+            held.append(s)
+            points.append(c if (s >= MANY).any() else c[:0])
     if rows:
-        yield (*now, rows, held)
+        yield (*now, rows, held, points)
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     there = np.zeros(CODES, bool)
-    for file, block, _, held in _blocks(batches):
+    for file, block, _, held, points in _blocks(batches):
         for s in held:
             there[codes(s)] = True
         grams = np.flatnonzero(there).astype(np.uint32)
@@ -176,13 +232,23 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = (grams.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) >> np.uint64(26)).astype(np.int64)
         some = np.unique(shard)
         packed = [_packed(np.diff(grams[shard == s], prepend=np.uint32(0))) for s in some]
+        keys = [k for s, c in zip(held, points, strict=True) if len(c) for h in hashed(s, c)[1:] for k in h]
+        if keys:
+            keys = np.unique(np.concatenate(keys))
+            shard = (keys % np.uint64(SPELLED)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            other, begin = np.unique(shard[order], return_index=True)
+            packed += [_packed(k) for k in np.split(keys[order], begin[1:])]
+            some = np.concatenate([some, other + SHARDS])
         yield pa.record_batch([pa.array([file] * len(some), pa.string()), pa.array([block] * len(some), pa.int64()), pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], ["file", "block", "shard", "grams"])
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for file, block, rows, held in _blocks(batches):
+    for file, block, rows, held, points in _blocks(batches):
         lengths = np.array([len(s) for s in held], np.int64)
-        yield pa.record_batch([pa.array([file]), pa.array([block], pa.int64()), pa.array([_packed(np.array(rows, np.int64))], pa.binary()), pa.array([_packed(lengths)], pa.binary()), pa.array([zstandard.compress(np.concatenate(held).tobytes(), 3)], pa.binary())], ["file", "block", "rows", "lengths", "symbols"])
+        names = ["rows", "lengths", "symbols", "points"]
+        packed = [_packed(np.array(rows, np.int64)), _packed(lengths), zstandard.compress(np.concatenate(held).tobytes(), 3), _packed(np.concatenate(points))]
+        yield pa.record_batch([pa.array([file]), pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], ["file", "block", *names])
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
@@ -190,34 +256,57 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     small = docs.sparkSession.sparkContext.broadcast(model.small)
 
     def answer(key: tuple, asked: pa.Table, counts: pa.Table) -> pa.Table:
-        grams, n = counts.column("gram").to_numpy().astype(np.uint32), counts.column("n").to_numpy()
+        spell = key[0].as_py() >= SHARDS
+        grams, n, types = counts.column("gram").to_numpy().astype(np.int64).view(np.uint64), counts.column("n").to_numpy(), counts.column("types").to_numpy()
         order = np.argsort(grams)
-        grams, n, out = grams[order], n[order], []
+        grams, n, types, out = grams[order], n[order], types[order], []
         for packed in asked.column("grams"):
+            if spell:
+                g = _open(packed.as_py(), np.uint64)
+                at = np.minimum(np.searchsorted(grams, g), max(len(grams) - 1, 0))
+                both = np.where(grams[at] == g, np.stack([n[at], types[at]]), 0) if len(grams) else np.zeros((2, len(g)), np.int64)
+                out.append(_packed(both.astype(np.int64)))
+                continue
             g = np.cumsum(_open(packed.as_py(), np.uint32), dtype=np.uint32)
             at = np.minimum(np.searchsorted(grams, g), max(len(grams) - 1, 0))
             own = np.where(grams[at] == g, n[at], 0) if len(grams) else np.zeros(len(g), np.int64)
             out.append(_packed(np.log(interpolated(small.value, g, own)).astype(np.float32)))
-        return pa.table([asked.column("file"), asked.column("block"), asked.column("grams"), pa.array(out, pa.binary())], ["file", "block", "grams", "logs"])
+        return pa.table([asked.column("file"), asked.column("block"), pa.array([spell] * len(out), pa.bool_()), asked.column("grams"), pa.array(out, pa.binary())], ["file", "block", "spell", "grams", "logs"])
 
     def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         logs = np.zeros(CODES, np.float32)
-        for g, v in zip(answers.column("grams"), answers.column("logs"), strict=True):
+        keys, counted = [np.zeros(0, np.uint64)], [np.zeros((2, 0), np.int64)]
+        for spell, g, v in zip(answers.column("spell").to_pylist(), answers.column("grams"), answers.column("logs"), strict=True):
+            if spell:
+                keys.append(_open(g.as_py(), np.uint64))
+                counted.append(_open(v.as_py(), np.int64).reshape(2, -1))
+                continue
             logs[np.cumsum(_open(g.as_py(), np.uint32), dtype=np.uint32)] = _open(v.as_py(), np.float32)
+        keys, counted = np.concatenate(keys), np.concatenate(counted, 1)
+        order = np.argsort(keys)
+        keys, counted = keys[order], counted[:, order]
         rows, out = [], []
-        for r, n, s in zip(texts.column("rows"), texts.column("lengths"), texts.column("symbols"), strict=True):
+        for r, n, s, c in zip(*[texts.column(x) for x in ("rows", "lengths", "symbols", "points")], strict=True):
             rows += _open(r.as_py(), np.int64).tolist()
-            held, at = _open(s.as_py(), np.uint8), 0
+            held, at, points, p = _open(s.as_py(), np.uint8), 0, _open(c.as_py(), np.uint32), 0
             for k in _open(n.as_py(), np.int64).tolist():
-                out.append(float(np.exp(-logs[codes(held[at : at + k])].mean(dtype=np.float64))) if k else None)
+                own = held[at : at + k]
+                total = logs[codes(own)].sum(dtype=np.float64)
+                if (own >= MANY).any():
+                    place, grams, contexts = hashed(own, points[p : p + k])
+                    seen, types = counted[:, np.searchsorted(keys, contexts)]
+                    total += np.log(spelling(own[place], counted[0, np.searchsorted(keys, grams)], seen, types)).sum()
+                    p += k
+                out.append(float(np.exp(-total / k)) if k else None)
                 at += k
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(out, pa.float64())], ["file", "row", "perplexity"])
 
     rows = docs.select(F.col("_file").alias("file"), F.floor(F.col("_row") / ROWS).cast("long").alias("block"), F.col("_row").alias("row"), "text")
     asked = rows.mapInArrow(_ask, "file string, block long, shard int, grams binary")
-    counts = model.counts.withColumn("shard", shard_of(F.col("gram")))
-    answers = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, "file string, block long, grams binary, logs binary")
-    texts = rows.mapInArrow(_send, "file string, block long, rows binary, lengths binary, symbols binary")
+    counts = model.counts.select(F.col("gram").cast("long").alias("gram"), "n", F.lit(0).cast("long").alias("types"), shard_of(F.col("gram")).alias("shard"))
+    counts = counts.union(model.spellings.select("key", "n", "types", (F.col("key").bitwiseAND(F.lit(SPELLED - 1)) + SHARDS).cast("int")))
+    answers = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, "file string, block long, spell boolean, grams binary, logs binary")
+    texts = rows.mapInArrow(_send, "file string, block long, rows binary, lengths binary, symbols binary, points binary")
     return texts.groupBy("file", "block").cogroup(answers.groupBy("file", "block")).applyInArrow(score, "file string, row long, perplexity double")
 
 

@@ -413,6 +413,60 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality.quality(odd, trusted.limit(0)).where("kept").count() == 8
 
 
+def clean(rng, words, n=60):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def invented(rng, letters, n=120):
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+
+def test_random_letters_of_any_script_are_told_from_text(spark):
+    rng, scripts = random.Random(7), {"ru": "абвгдеиклмнопрсту", "el": "αβγδεικλμνοπρστυ", "he": "אבגדהוזחטיכלמנסע", "zh": "".join(map(chr, range(0x4E00, 0x4E80)))}
+    rows, trusted = [], []
+    for lang, letters in scripts.items():
+        words = invented(rng, letters, 40)
+        for k in range(40):
+            t = clean(rng, words)
+            if k >= 30:  # words of the same lengths in other letters
+                t = "".join(rng.choice(letters) if c != " " else c for c in t)
+            elif k < 25:
+                trusted.append((len(rows),))
+            rows.append((len(rows), t, lang, "bad" if k >= 30 else "good", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = quality.quality(docs, spark.createDataFrame(trusted, "doc_id long")).join(docs.select("doc_id", "source"), "doc_id").collect()
+    assert not any(r["kept"] for r in got if r["source"] == "bad") and np.mean([r["kept"] for r in got if r["source"] == "good"]) > 0.95
+
+
+def test_spelling_against_brute_force():
+    texts, n, follow = ["жук и жаба", "жаба и уж", "ж+ú"], Counter(), defaultdict(set)
+    for t in texts:
+        s, c = quality.spelled(t)
+        c = [0, 0, 0, *[32 if x == 1 else int(y) for x, y in zip(s, c, strict=True)]]
+        for i, x in enumerate(s):
+            for k in range(4) if x >= 62 else ():
+                context = (int(x), *c[i + 3 - k : i + 3])
+                n[context, c[i + 3]] += 1
+                follow[context].add(c[i + 3])
+    keys = Counter()
+    for t in texts:
+        _, grams, contexts = quality.hashed(*quality.spelled(t))
+        keys.update(grams.reshape(-1).tolist() + contexts.reshape(-1).tolist())
+        for g, h in set(zip(grams.reshape(-1).tolist(), contexts.reshape(-1).tolist(), strict=True)):
+            follow[h].add(g)
+    size = np.bincount(quality.symbols())
+
+    def p(context, c):
+        low = p((context[0], *context[2:]), c) if len(context) > 1 else 1 / size[context[0]]
+        total, kinds = sum(v for (h, _), v in n.items() if h == context), len(follow[context])
+        return (n[context, c] + kinds * low) / (total + kinds) if total else low
+
+    s, c = quality.spelled("жаж")
+    at, grams, contexts = quality.hashed(s, c)
+    found = quality.spelling(s[at], *[np.array([[f(int(h)) for h in row] for row in m]) for m, f in ((grams, lambda h: keys[h]), (contexts, lambda h: keys[h]), (contexts, lambda h: len(follow[h])))])
+    assert found == pytest.approx([p((62, 0, 0, 0), ord("ж")), p((62, 0, 0, ord("ж")), ord("а")), p((62, 0, ord("ж"), ord("а")), ord("ж"))])
+
+
 # Queries and pipeline
 
 
