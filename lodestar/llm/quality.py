@@ -1,4 +1,4 @@
-"""Quality by an interpolated modified Kneser-Ney model over characters, trained on trusted text.
+"""Quality by an interpolated modified Kneser-Ney model over characters, trained on trusted text, and by echoes of words.
 
 A character's probability has two factors. The first is that of its symbol in an alphabet of 64 (letters as they are, digits,
 white space and rarer signs by class), so an n-gram of symbols is a number of 6 n bits, and everything below the highest order,
@@ -13,17 +13,22 @@ symbol each.
 2. Documents are scored by sharded joins. A block of ROWS rows asks once for each n-gram that it has, dealt out over SHARDS, or
    over SPELLED of code points; each shard of questions meets the same shard of the counts, and the answer goes back to its
    block, where it meets the block's texts, compressed. Only the lower orders' tables of symbols, of a fixed size, are broadcast.
-3. A document is kept if its perplexity lies between two quantiles of that of the trusted texts of its language, widened by
-   SLACK; languages without trusted texts are held to those of all.
+3. Four characters can't show that a word follows itself. A text's echo is the share of its word pairs that also begin at one of
+   the ECHOES words before, so texts that stutter or go round in a short circle have one near 1.
+4. A document is kept if its perplexity lies between two quantiles of that of the trusted texts of its language, widened by
+   SLACK, and its echo isn't above the upper one of theirs, widened too, or LEAST_ECHO if that is more; languages without trusted
+   texts are held to those of all.
 
 Trusted are the rows that the labels give quality 1, all of them.
 
 Defined results: a null text, an empty one and one of white space have no perplexity and aren't kept. Every row of the input
-gives one row; without trusted text nothing has a perplexity, and what has any text is kept.
+gives one row; without trusted text nothing has a perplexity, and what has any text is kept. Words are runs of letters and
+digits; a script without spaces has few, so its stutters show in perplexity alone.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +44,8 @@ LOW, HIGH, SLACK = 0.001, 0.999, 1.25
 CODES, LOWER = 1 << 24, 1 << 18
 #: The first symbol that stands for many code points, and shards of n-grams of code points.
 MANY, SPELLED = 62, 512
+#: Words before a pair of words at which an equal one counts as an echo, and a bound of echoes below which no quantile goes.
+ECHOES, LEAST_ECHO = 16, 0.1
 
 _P = np.random.default_rng(99).integers(0, 2**62, 3, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -108,6 +115,17 @@ def spelling(symbol: np.ndarray, n: np.ndarray, total: np.ndarray, types: np.nda
     return p
 
 
+def echo(text: str | None) -> float:
+    """The share of a text's word pairs that are equal to one which begins at most ECHOES words before."""
+    number: dict[str, int] = {}
+    w = np.array([number.setdefault(x, len(number)) for x in re.findall(r"\w+", (text or "").lower())], np.int64)
+    pairs = w[:-1] * len(number) + w[1:]
+    same = np.zeros(len(pairs), bool)
+    for k in range(1, min(ECHOES, len(pairs) - 1) + 1):
+        same[k:] |= pairs[k:] == pairs[:-k]
+    return float(same.sum() / (len(pairs) + 1))
+
+
 def codes(s: np.ndarray) -> np.ndarray:
     """The 4-gram that ends at each symbol; before the text there are starts."""
     p = np.concatenate([np.zeros(ORDER - 1, np.uint32), s.astype(np.uint32)])
@@ -205,26 +223,27 @@ def _open(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[int], list[np.ndarray], list[np.ndarray]]]:
-    """file, block, rows, symbols and code points of runs of rows in one block, as they come."""
-    now, rows, held, points = None, [], [], []
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[int], list[np.ndarray], list[np.ndarray], list[str | None]]]:
+    """file, block, rows, symbols, code points and texts of runs of rows in one block, as they come."""
+    now, rows, held, points, texts = None, [], [], [], []
     for batch in batches:
         for file, block, row, text in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
             if now != (file, block) or sum(map(len, held[-1:])) > 8_000_000:
                 if rows:
-                    yield (*now, rows, held, points)
-                now, rows, held, points = (file, block), [], [], []
+                    yield (*now, rows, held, points, texts)
+                now, rows, held, points, texts = (file, block), [], [], [], []
             s, c = spelled(text.as_py())
             rows.append(row)
             held.append(s)
             points.append(c if (s >= MANY).any() else c[:0])
+            texts.append(text.as_py())
     if rows:
-        yield (*now, rows, held, points)
+        yield (*now, rows, held, points, texts)
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     there = np.zeros(CODES, bool)
-    for file, block, _, held, points in _blocks(batches):
+    for file, block, _, held, points, _ in _blocks(batches):
         for s in held:
             there[codes(s)] = True
         grams = np.flatnonzero(there).astype(np.uint32)
@@ -244,15 +263,15 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for file, block, rows, held, points in _blocks(batches):
+    for file, block, rows, held, points, texts in _blocks(batches):
         lengths = np.array([len(s) for s in held], np.int64)
-        names = ["rows", "lengths", "symbols", "points"]
-        packed = [_packed(np.array(rows, np.int64)), _packed(lengths), zstandard.compress(np.concatenate(held).tobytes(), 3), _packed(np.concatenate(points))]
+        names = ["rows", "lengths", "echoes", "symbols", "points"]
+        packed = [_packed(np.array(rows, np.int64)), _packed(lengths), _packed(np.array([echo(t) for t in texts])), zstandard.compress(np.concatenate(held).tobytes(), 3), _packed(np.concatenate(points))]
         yield pa.record_batch([pa.array([file]), pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], ["file", "block", *names])
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """file, row, perplexity of each row of docs (located()) under a model."""
+    """file, row, perplexity, echo of each row of docs (located()) under a model."""
     small = docs.sparkSession.sparkContext.broadcast(model.small)
 
     def answer(key: tuple, asked: pa.Table, counts: pa.Table) -> pa.Table:
@@ -285,9 +304,10 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         keys, counted = np.concatenate(keys), np.concatenate(counted, 1)
         order = np.argsort(keys)
         keys, counted = keys[order], counted[:, order]
-        rows, out = [], []
-        for r, n, s, c in zip(*[texts.column(x) for x in ("rows", "lengths", "symbols", "points")], strict=True):
+        rows, out, echoes = [], [], []
+        for r, n, e, s, c in zip(*[texts.column(x) for x in ("rows", "lengths", "echoes", "symbols", "points")], strict=True):
             rows += _open(r.as_py(), np.int64).tolist()
+            echoes += _open(e.as_py(), np.float64).tolist()
             held, at, points, p = _open(s.as_py(), np.uint8), 0, _open(c.as_py(), np.uint32), 0
             for k in _open(n.as_py(), np.int64).tolist():
                 own = held[at : at + k]
@@ -299,34 +319,34 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
                     p += k
                 out.append(float(np.exp(-total / k)) if k else None)
                 at += k
-        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(out, pa.float64())], ["file", "row", "perplexity"])
+        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(out, pa.float64()), pa.array(echoes, pa.float64())], ["file", "row", "perplexity", "echo"])
 
     rows = docs.select(F.col("_file").alias("file"), F.floor(F.col("_row") / ROWS).cast("long").alias("block"), F.col("_row").alias("row"), "text")
     asked = rows.mapInArrow(_ask, "file string, block long, shard int, grams binary")
     counts = model.counts.select(F.col("gram").cast("long").alias("gram"), "n", F.lit(0).cast("long").alias("types"), shard_of(F.col("gram")).alias("shard"))
     counts = counts.union(model.spellings.select("key", "n", "types", (F.col("key").bitwiseAND(F.lit(SPELLED - 1)) + SHARDS).cast("int")))
     answers = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, "file string, block long, spell boolean, grams binary, logs binary")
-    texts = rows.mapInArrow(_send, "file string, block long, rows binary, lengths binary, symbols binary, points binary")
-    return texts.groupBy("file", "block").cogroup(answers.groupBy("file", "block")).applyInArrow(score, "file string, row long, perplexity double")
+    texts = rows.mapInArrow(_send, "file string, block long, rows binary, lengths binary, echoes binary, symbols binary, points binary")
+    return texts.groupBy("file", "block").cogroup(answers.groupBy("file", "block")).applyInArrow(score, "file string, row long, perplexity double, echo double")
 
 
 def quality(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity, low, high and kept for each row of docs. trusted_ids: distinct doc_ids of trusted text."""
+    """doc_id, lang, perplexity, low, high, echo, most_echo and kept for each row of docs. trusted_ids: distinct doc_ids of trusted text."""
     rows = located(docs)
     trusted = rows.join(bounded(trusted_ids.select(F.col("doc_id").alias("_trusted"))), rows["doc_id"].cast("long") == F.col("_trusted"), "left_semi")
     model = train(trusted)
     slim = rows.select(F.col("_file").alias("file"), F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).rlike("\\S").alias("any_text"))
     if model is None:
-        return slim.select("doc_id", "lang", *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "low", "high")], F.col("any_text").alias("kept"))
+        return slim.select("doc_id", "lang", *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "low", "high", "echo", "most_echo")], F.col("any_text").alias("kept"))
     scored = stored(slim.join(perplexities(rows, model), ["file", "row"]), "scored")
     base = scored.join(bounded(trusted_ids), "doc_id", "left_semi").where("perplexity is not null")
-    quantile = lambda q: F.percentile_approx("perplexity", q, 10_000)
-    every = base.agg(quantile(LOW).alias("all_low"), quantile(HIGH).alias("all_high"))
-    own = base.where("lang is not null").groupBy("lang").agg(quantile(LOW).alias("own_low"), quantile(HIGH).alias("own_high"))
+    quantile = lambda q, of="perplexity": F.percentile_approx(of, q, 10_000)
+    every = base.agg(quantile(LOW).alias("all_low"), quantile(HIGH).alias("all_high"), quantile(HIGH, "echo").alias("all_echo"))
+    own = base.where("lang is not null").groupBy("lang").agg(quantile(LOW).alias("own_low"), quantile(HIGH).alias("own_high"), quantile(HIGH, "echo").alias("own_echo"))
     held = scored.join(bounded(own), "lang", "left").join(F.broadcast(every))  # every is one row
-    held = held.withColumns({"low": F.coalesce("own_low", "all_low") / SLACK, "high": F.coalesce("own_high", "all_high") * SLACK})
-    kept = F.col("any_text") & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return held.select("doc_id", "lang", "perplexity", "low", "high", kept.alias("kept"))
+    held = held.withColumns({"low": F.coalesce("own_low", "all_low") / SLACK, "high": F.coalesce("own_high", "all_high") * SLACK, "most_echo": F.greatest(F.coalesce("own_echo", "all_echo") * SLACK, F.lit(LEAST_ECHO))})
+    kept = F.col("any_text") & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")) & (F.col("echo") <= F.col("most_echo")), F.lit(True))
+    return held.select("doc_id", "lang", "perplexity", "low", "high", "echo", "most_echo", kept.alias("kept"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -421,6 +421,19 @@ def invented(rng, letters, n=120):
     return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n)]
 
 
+def test_stutters_are_not_kept(spark):
+    rng = random.Random(6)
+    words = invented(rng, "abdeiklmnorstu")
+    good, rare = [clean(rng, words) for _ in range(80)], [f"{clean(rng, words, 5)} " + f"{w} " * 40 for w in words[:5]] + [" ".join(words[:3] * 20), "{0}, {0}. {0}! ".format(words[3].upper()) * 20]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(good + rare)], DOCS)
+    got = {r["doc_id"]: (r["kept"], r["echo"]) for r in quality.quality(docs, spark.range(60).toDF("doc_id")).collect()}
+    assert all(got[i][0] for i in range(80)) and not any(got[80 + i][0] for i in range(len(rare)))
+    for i, t in enumerate(good + rare):
+        w = re.findall(r"\w+", t.lower())
+        pairs = list(zip(w, w[1:], strict=False))
+        assert got[i][1] == pytest.approx(sum(p in pairs[max(0, k - quality.ECHOES) : k] for k, p in enumerate(pairs)) / (len(pairs) + 1))
+
+
 def test_random_letters_of_any_script_are_told_from_text(spark):
     rng, scripts = random.Random(7), {"ru": "абвгдеиклмнопрсту", "el": "αβγδεικλμνοπρστυ", "he": "אבגדהוזחטיכלמנסע", "zh": "".join(map(chr, range(0x4E00, 0x4E80)))}
     rows, trusted = [], []
