@@ -12,7 +12,8 @@
    blocks of a component stay apart, pairs of blocks follow for the documents outside the largest part. So links are
    confirmed on full sets, no pairs of a group are written out, and a component never has to fit into one task.
 
-The chance that TREES trees miss a pair at the threshold is below 1e-6 where nodes are small, and the byte comparison keeps
+The chance that TREES trees miss a pair at the threshold is below 1e-6 where nodes are small. Where all nodes that a pair shares
+are large down to DEPTH, it stays together in a tree with chance 0.40, so all trees miss it with about 3e-4; and the byte comparison keeps
 LOOKS of the slots equal, four standard deviations below what such a pair has.
 
 Defined results: a null text, an empty one and one of white space have no shingles and link with nothing; a text of fewer
