@@ -100,11 +100,17 @@ class Words:
 
 
 class Softmax:
-    """Embeddings and weights, trained by stochastic gradient descent with per-coordinate step sizes."""
+    """Embeddings and weights, trained by stochastic gradient descent with per-coordinate step sizes.
 
-    def __init__(self, buckets: int, dim: int, classes: int, seed: int = 1) -> None:
+    active: the buckets that are learned; the vectors of others stay 0.
+    """
+
+    def __init__(self, buckets: int, dim: int, classes: int, seed: int = 1, active: np.ndarray | None = None) -> None:
         rng = np.random.default_rng(seed)
         self.e = ((rng.random((buckets, dim)) - 0.5) / dim).astype(np.float32)
+        self.active = active
+        if active is not None:
+            self.e[~active] = 0
         self.w = (rng.random((dim, classes)) - 0.5).astype(np.float32)
         self.b = np.zeros(classes, np.float32)
         self.ge, self.gw, self.gb = np.full(buckets, 1e-6, np.float32), np.full(self.w.shape, 1e-6, np.float32), np.full(classes, 1e-6, np.float32)
@@ -123,6 +129,8 @@ class Softmax:
         unique, inverse = np.unique(ids, return_inverse=True)
         order = np.argsort(inverse, kind="stable")
         ge = np.add.reduceat(np.repeat(gh, sizes, 0)[order], np.searchsorted(inverse[order], np.arange(len(unique))))
+        if self.active is not None:
+            ge *= self.active[unique][:, None]
         self.ge[unique] += (ge * ge).mean(1)
         self.e[unique] -= (rate / np.sqrt(self.ge[unique]))[:, None] * ge
         self.gw += gw * gw
