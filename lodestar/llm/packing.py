@@ -8,7 +8,8 @@
 3. A piece's rank among all pieces of its length (its rank in the partition after those of earlier partitions) leads to its
    place in the plan by binary search, so nothing is collected and no group meets in one task.
 
-Ids: white space other than single characters never joins words in this tokenizer, so a text's ids are those of its parts
+Ids are those of the library for the whole text, its added tokens included where their strings stand in a text. White space other
+than single characters never joins words in this tokenizer and no added token holds any, so a text's ids are those of its parts
 between spaces and newlines, one after the other; each distinct part is encoded once by the library and remembered.
 
 Defined results: a null or empty text is the end id alone; every row of the input is packed, repeated doc_ids too; other
@@ -57,7 +58,6 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
         self.last = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}  # ids that end a word
 
@@ -97,7 +97,7 @@ class PartEncoder:
         for text in texts:
             try:
                 text.encode("latin-1")
-                text = text.lower()  # the tokenizer does too; beyond Latin-1 that is left to it
+                text = text if "<|" in text else text.lower()  # the tokenizer does too, but for its added tokens; beyond Latin-1 that is left to it
             except UnicodeEncodeError:
                 pass
             split.append(text.replace("\n", " ").split(" "))
