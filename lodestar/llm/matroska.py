@@ -5,8 +5,9 @@ kinds of lacing, and cues, into packets: track, timestamp, key frame flag, clust
 writer stores a payload as frames of 8-bit samples: blocks of equally long frames with fixed lacing, the last block with EBML
 lacing, a cue for each cluster. Nothing in a container depends on anything but its payload.
 
-Defined results: a null text counts as empty; every row of the input gives one row. A container that ends within an element,
-or whose sizes contradict each other, raises ValueError.
+Defined results: a null text counts as empty; every row of the input gives one row. parse() raises ValueError for a container
+that ends within an element, lacks one that it needs, or whose sizes contradict each other; packet_table() gives such a container
+one row with the error.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import documents
+from lodestar.llm.common import documents, released
 
 #: Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -133,6 +134,14 @@ def _unsigned(buf: bytes, a: int, b: int) -> int:
 
 
 def parse(buf: bytes) -> Media:
+    """A container's packets, tracks (codec by number), cues and number of clusters; ValueError if it is damaged."""
+    try:
+        return _parse(buf)
+    except (KeyError, IndexError, struct.error, UnicodeDecodeError) as e:
+        raise ValueError(f"the container is damaged: {e!r}") from e
+
+
+def _parse(buf: bytes) -> Media:
     packets: list[Packet] = []
     tracks: dict[int, str] = {}
     durations: dict[int, int] = {}
@@ -141,6 +150,8 @@ def parse(buf: bytes) -> Media:
 
     def block(a: int, b: int, base: int, key: bool | None) -> None:
         track, a = number(buf, a)
+        if a + 3 > b:
+            raise ValueError(f"the block that ends at byte {b} has no header")
         relative, flags = struct.unpack_from(">hB", buf, a)
         time = (base + relative) * scale
         for i, (x, y) in enumerate(laces(buf, a + 3, b, flags >> 1 & 3)):
@@ -175,8 +186,10 @@ def parse(buf: bytes) -> Media:
                 for k, x, y in elements(buf, c, d):
                     if k == CUE_POINT:
                         inner = {i: (e, f) for i, e, f in elements(buf, x, y)}
-                        at = {i: (e, f) for i, e, f in elements(buf, *inner[CUE_POSITIONS])}
-                        cues.append((_unsigned(buf, *inner[CUE_TIME]) * scale, _unsigned(buf, *at[CUE_TRACK]), a + _unsigned(buf, *at[CUE_CLUSTER])))
+                        for i, e, f in elements(buf, x, y):
+                            if i == CUE_POSITIONS:  # one for each track
+                                at = {j: (g, h) for j, g, h in elements(buf, e, f)}
+                                cues.append((_unsigned(buf, *inner[CUE_TIME]) * scale, _unsigned(buf, *at[CUE_TRACK]), a + _unsigned(buf, *at[CUE_CLUSTER])))
     return Media(packets, tracks, cues, clusters)
 
 
@@ -239,21 +252,27 @@ def payload_of(text: str) -> tuple[bytes, int]:
     return data + b" " * (max(1, -(-len(data) // FRAME)) * FRAME - len(data)), len(data)
 
 
-PACKETS = "id long, track int, timestamp_ns long, keyframe boolean, cluster int, start long, stop long"
+PACKETS = "id long, track int, timestamp_ns long, keyframe boolean, cluster int, start long, stop long, error string"
 
 
 def packet_table(media: DataFrame, column: str = "media", key: str = "id") -> DataFrame:
-    """One row for each packet of each container in a binary column, null ones aside."""
+    """One row for each packet of each container in a binary column, null ones aside; a damaged one gives one row with its error alone."""
+    names, types = ["track", "timestamp_ns", "keyframe", "cluster", "start", "stop"], (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if held.is_valid and (found := parse(held.as_py()).packets):
-                    cols = list(zip(*found, strict=True))
-                    types = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
-                    yield pa.record_batch([pa.array([i] * len(found), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["id", "track", "timestamp_ns", "keyframe", "cluster", "start", "stop"])
+                if not held.is_valid:
+                    continue
+                try:
+                    found, error = parse(held.as_py()).packets, None
+                    cols = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=False)]
+                except (ValueError, OverflowError) as e:  # Arrow's errors are ValueErrors too
+                    found, error, cols = [None], str(e), [pa.array([None], t) for t in types]
+                if found:
+                    yield pa.record_batch([pa.array([i] * len(found), pa.int64()), *cols, pa.array([error] * len(found), pa.string())], ["id", *names, "error"])
 
-    return media.select(F.col(key).cast("long"), F.col(column)).mapInArrow(run, PACKETS)
+    return media.select(F.col(key).cast("long"), F.col(column)).mapInArrow(released(run), PACKETS)
 
 
 STORED = "doc_id long, n_bytes long, media binary"
@@ -269,7 +288,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 payloads = [payload_of(t or "") for t in texts]
                 yield pa.record_batch([batch.column("doc_id").slice(a, 64), pa.array([n for _, n in payloads], pa.int64()), pa.array([mux(p) for p, _ in payloads], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), STORED)
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -293,7 +312,7 @@ def features(stored: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.mapInArrow(run, FEATURES)
+    return stored.mapInArrow(released(run), FEATURES)
 
 
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
