@@ -11,15 +11,16 @@ symbol each.
    come before them. Three discounts for each order come from the counts of counts. n-grams that end in a code point of the two
    symbols are counted for all orders, and their contexts by number and by how many code points follow.
 2. Documents are scored by sharded joins. A block of ROWS rows asks once for each n-gram that it has, dealt out over SHARDS, or
-   over SPELLED of code points; each shard of questions meets the same shard of the counts, and the answer goes back to its
-   block, where it meets the block's texts, compressed. Only the lower orders' tables of symbols, of a fixed size, are broadcast.
+   over SPELLED of code points; each shard of questions meets the same shard of the counts, BLOCKS blocks at a time, and the
+   answer goes back to its block, where it meets the block's texts, compressed. Only the lower orders' tables of symbols, of a fixed size, are broadcast.
 3. Four characters can't show that a word follows itself. A text's echo is the share of its word pairs that also begin at one of
    the ECHOES words before, so texts that stutter or go round in a short circle have one near 1.
-4. A document is kept if its perplexity lies between two quantiles of that of the trusted texts of its language, widened by
-   SLACK, and its echo isn't above the upper one of theirs, widened too, or LEAST_ECHO if that is more; languages without trusted
-   texts are held to those of all.
+4. A document is kept if its perplexity lies between two quantiles of that of the trusted texts of its language which were held
+   out from the counts (one in HELD, by doc_id), widened by SLACK since a quantile near the end is one of few texts', and its echo
+   isn't above the upper one of all trusted texts, widened too, or LEAST_ECHO if that is more; languages without trusted texts are
+   held to those of all.
 
-Trusted are the rows that the labels give quality 1, all of them.
+Trusted are the rows that the labels give quality 1, all of them: four fifths are counted, one fifth sets the bounds.
 
 Defined results: a null text, an empty one and one of white space have no perplexity and aren't kept. Every row of the input
 gives one row; without trusted text nothing has a perplexity, and what has any text is kept. Words are runs of letters and
@@ -37,9 +38,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bounded, documents, located, stored
+from lodestar.llm.common import bounded, crc32_bucket, documents, located, released, stored
 
 ORDER, ROWS, SHARDS = 4, 1024, 64
+#: Characters of a block's part, and blocks whose questions meet one copy of a shard of the counts.
+PART, BLOCKS = 8_000_000, 4096
+#: Trusted rows in HELD parts of which one is held out from the counts, for the quantiles of perplexity.
+HELD = 5
 LOW, HIGH, SLACK = 0.001, 0.999, 1.25
 CODES, LOWER = 1 << 24, 1 << 18
 #: The first symbol that stands for many code points, and shards of n-grams of code points.
@@ -223,27 +228,29 @@ def _open(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[int], list[np.ndarray], list[np.ndarray], list[str | None]]]:
-    """file, block, rows, symbols, code points and texts of runs of rows in one block, as they come."""
-    now, rows, held, points, texts = None, [], [], [], []
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list[int], list[np.ndarray], list[np.ndarray], list[str | None]]]:
+    """file, block, part, rows, symbols, code points and texts of runs of rows in one block, as they come; a part has PART characters and one text more at most."""
+    now, part, size, rows, held, points, texts = None, 0, 0, [], [], [], []
     for batch in batches:
         for file, block, row, text in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
-            if now != (file, block) or sum(map(len, held[-1:])) > 8_000_000:
+            if now != (file, block) or size > PART:
                 if rows:
-                    yield (*now, rows, held, points, texts)
-                now, rows, held, points, texts = (file, block), [], [], [], []
+                    yield (*now, part, rows, held, points, texts)
+                part = part + 1 if now == (file, block) else 0
+                now, size, rows, held, points, texts = (file, block), 0, [], [], [], []
             s, c = spelled(text.as_py())
+            size += len(s)
             rows.append(row)
             held.append(s)
             points.append(c if (s >= MANY).any() else c[:0])
             texts.append(text.as_py())
     if rows:
-        yield (*now, rows, held, points, texts)
+        yield (*now, part, rows, held, points, texts)
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     there = np.zeros(CODES, bool)
-    for file, block, _, held, points, _ in _blocks(batches):
+    for file, block, part, _, held, points, _ in _blocks(batches):
         for s in held:
             there[codes(s)] = True
         grams = np.flatnonzero(there).astype(np.uint32)
@@ -259,15 +266,15 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other, begin = np.unique(shard[order], return_index=True)
             packed += [_packed(k) for k in np.split(keys[order], begin[1:])]
             some = np.concatenate([some, other + SHARDS])
-        yield pa.record_batch([pa.array([file] * len(some), pa.string()), pa.array([block] * len(some), pa.int64()), pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], ["file", "block", "shard", "grams"])
+        yield pa.record_batch([pa.array([file] * len(some), pa.string()), pa.array([block] * len(some), pa.int64()), pa.array([part] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], ["file", "block", "part", "shard", "grams"])
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for file, block, rows, held, points, texts in _blocks(batches):
+    for file, block, part, rows, held, points, texts in _blocks(batches):
         lengths = np.array([len(s) for s in held], np.int64)
         names = ["rows", "lengths", "echoes", "symbols", "points"]
         packed = [_packed(np.array(rows, np.int64)), _packed(lengths), _packed(np.array([echo(t) for t in texts])), zstandard.compress(np.concatenate(held).tobytes(), 3), _packed(np.concatenate(points))]
-        yield pa.record_batch([pa.array([file]), pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], ["file", "block", *names])
+        yield pa.record_batch([pa.array([file]), pa.array([block], pa.int64()), pa.array([part], pa.int32()), *[pa.array([x], pa.binary()) for x in packed]], ["file", "block", "part", *names])
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
@@ -290,7 +297,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
             at = np.minimum(np.searchsorted(grams, g), max(len(grams) - 1, 0))
             own = np.where(grams[at] == g, n[at], 0) if len(grams) else np.zeros(len(g), np.int64)
             out.append(_packed(np.log(interpolated(small.value, g, own)).astype(np.float32)))
-        return pa.table([asked.column("file"), asked.column("block"), pa.array([spell] * len(out), pa.bool_()), asked.column("grams"), pa.array(out, pa.binary())], ["file", "block", "spell", "grams", "logs"])
+        return pa.table([asked.column("file"), asked.column("block"), asked.column("part"), pa.array([spell] * len(out), pa.bool_()), asked.column("grams"), pa.array(out, pa.binary())], ["file", "block", "part", "spell", "grams", "logs"])
 
     def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         logs = np.zeros(CODES, np.float32)
@@ -322,31 +329,37 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(out, pa.float64()), pa.array(echoes, pa.float64())], ["file", "row", "perplexity", "echo"])
 
     rows = docs.select(F.col("_file").alias("file"), F.floor(F.col("_row") / ROWS).cast("long").alias("block"), F.col("_row").alias("row"), "text")
-    asked = rows.mapInArrow(_ask, "file string, block long, shard int, grams binary")
+    # A shard of the counts meets the questions of BLOCKS blocks at a time, so a group stays bounded whatever the corpus holds
+    slices = max(1, -(-docs.count() // (ROWS * BLOCKS)))
+    asked = rows.mapInArrow(released(_ask), "file string, block long, part int, shard int, grams binary").withColumn("slice", F.pmod(F.xxhash64("file", "block"), F.lit(slices)).cast("int"))
     counts = model.counts.select(F.col("gram").cast("long").alias("gram"), "n", F.lit(0).cast("long").alias("types"), shard_of(F.col("gram")).alias("shard"))
     counts = counts.union(model.spellings.select("key", "n", "types", (F.col("key").bitwiseAND(F.lit(SPELLED - 1)) + SHARDS).cast("int")))
-    answers = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, "file string, block long, spell boolean, grams binary, logs binary")
-    texts = rows.mapInArrow(_send, "file string, block long, rows binary, lengths binary, echoes binary, symbols binary, points binary")
-    return texts.groupBy("file", "block").cogroup(answers.groupBy("file", "block")).applyInArrow(score, "file string, row long, perplexity double, echo double")
+    counts = counts.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))) if slices > 1 else counts.withColumn("slice", F.lit(0))
+    answers = asked.groupBy("shard", "slice").cogroup(counts.groupBy("shard", "slice")).applyInArrow(answer, "file string, block long, part int, spell boolean, grams binary, logs binary")
+    texts = rows.mapInArrow(released(_send), "file string, block long, part int, rows binary, lengths binary, echoes binary, symbols binary, points binary")
+    return texts.groupBy("file", "block", "part").cogroup(answers.groupBy("file", "block", "part")).applyInArrow(score, "file string, row long, perplexity double, echo double")
 
 
 def quality(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, low, high, echo, most_echo and kept for each row of docs. trusted_ids: distinct doc_ids of trusted text."""
     rows = located(docs)
     trusted = rows.join(bounded(trusted_ids.select(F.col("doc_id").alias("_trusted"))), rows["doc_id"].cast("long") == F.col("_trusted"), "left_semi")
-    model = train(trusted)
+    held = crc32_bucket("doc_id", HELD) == 0
+    model = train(trusted.where(~held)) or train(trusted)
     slim = rows.select(F.col("_file").alias("file"), F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).rlike("\\S").alias("any_text"))
     if model is None:
         return slim.select("doc_id", "lang", *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "low", "high", "echo", "most_echo")], F.col("any_text").alias("kept"))
     scored = stored(slim.join(perplexities(rows, model), ["file", "row"]), "scored")
     base = scored.join(bounded(trusted_ids), "doc_id", "left_semi").where("perplexity is not null")
-    quantile = lambda q, of="perplexity": F.percentile_approx(of, q, 10_000)
-    every = base.agg(quantile(LOW).alias("all_low"), quantile(HIGH).alias("all_high"), quantile(HIGH, "echo").alias("all_echo"))
-    own = base.where("lang is not null").groupBy("lang").agg(quantile(LOW).alias("own_low"), quantile(HIGH).alias("own_high"), quantile(HIGH, "echo").alias("own_echo"))
-    held = scored.join(bounded(own), "lang", "left").join(F.broadcast(every))  # every is one row
-    held = held.withColumns({"low": F.coalesce("own_low", "all_low") / SLACK, "high": F.coalesce("own_high", "all_high") * SLACK, "most_echo": F.greatest(F.coalesce("own_echo", "all_echo") * SLACK, F.lit(LEAST_ECHO))})
+    # Of the held-out rows, or of all where there are none
+    quantile = lambda q: F.coalesce(*[F.percentile_approx(x, q, 10_000) for x in (F.when(held, F.col("perplexity")), F.col("perplexity"))])
+    echoes = F.percentile_approx("echo", HIGH, 10_000)
+    every = base.agg(quantile(LOW).alias("all_low"), quantile(HIGH).alias("all_high"), echoes.alias("all_echo"))
+    own = base.where("lang is not null").groupBy("lang").agg(quantile(LOW).alias("own_low"), quantile(HIGH).alias("own_high"), echoes.alias("own_echo"))
+    judged = scored.join(bounded(own), "lang", "left").join(F.broadcast(every))  # every is one row
+    judged = judged.withColumns({"low": F.coalesce("own_low", "all_low") / SLACK, "high": F.coalesce("own_high", "all_high") * SLACK, "most_echo": F.greatest(F.coalesce("own_echo", "all_echo") * SLACK, F.lit(LEAST_ECHO))})
     kept = F.col("any_text") & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")) & (F.col("echo") <= F.col("most_echo")), F.lit(True))
-    return held.select("doc_id", "lang", "perplexity", "low", "high", "echo", "most_echo", kept.alias("kept"))
+    return judged.select("doc_id", "lang", "perplexity", "low", "high", "echo", "most_echo", kept.alias("kept"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
