@@ -168,10 +168,10 @@ def test_pieces_against_the_library(spark, odd, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    got = packing.pack(odd, size=64).collect()
+    marked = [(11, "Hello <|endoftext|> World", "en", "s", 25), (12, "a<|startoftext|>B <|EndOfText|> <|START<|endoftext|>.", "en", "s", 48)]
+    got = packing.pack(odd.select("doc_id", "text").union(spark.createDataFrame(marked, DOCS).select("doc_id", "text")), size=64).collect()
     want = Counter()
-    for d, text, *_ in ODD:
+    for d, text, *_ in ODD + marked:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         for k in range(0, len(ids), 64):
             part = np.array(ids[k : k + 64], "<u4")
@@ -190,11 +190,13 @@ def test_pieces_against_the_library(spark, odd, none):
 
 
 def test_parts_encode_as_the_whole_text_does():
-    e = packing.PartEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    from tokenizers import Tokenizer
+
+    e, library = packing.PartEncoder(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(1)
-    for _ in range(2000):
-        t = "".join(rng.choice(["a", "B", "é", "É", "é", "'s", "'", " ", "\n", "\t", ".", ",", "\x1c", "3", "12", "Σ", "İ", "ß", "日本", "́", "<|endoftext|>", "!!", "x", "\x85"]) for _ in range(rng.randint(0, 14)))
-        assert e.tokenizer.encode(t, add_special_tokens=False).ids == np.frombuffer(e.encode([t])[0], "<u4").tolist()
+    for _ in range(4000):
+        t = "".join(rng.choice(["a", "B", "é", "É", "é", "'s", "'", " ", "\n", "\t", ".", ",", "\x1c", "3", "12", "Σ", "İ", "ß", "日本", "́", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "!!", "x", "\x85"]) for _ in range(rng.randint(0, 14)))
+        assert library.encode(t, add_special_tokens=False).ids == np.frombuffer(e.encode([t])[0], "<u4").tolist()
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -251,6 +253,32 @@ def test_unknown_sizes_block_groups_and_damage():
         matroska.parse(media[:-3])
 
 
+def test_damaged_containers_give_an_error_each(spark):
+    rng, media = random.Random(5), matroska.mux(bytes(range(192)) * 30)
+    damaged = []
+    for _ in range(600):
+        b = bytearray(media)
+        for _ in range(rng.randint(1, 4)):
+            b[rng.choice([rng.randrange(400), rng.randrange(len(b))])] = rng.randrange(256)
+        damaged.append(bytes(b[: rng.choice([len(b), rng.randrange(len(b))])]))
+    for b in damaged:
+        try:
+            matroska.parse(b)
+        except ValueError:
+            pass
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([media, *damaged[:80], b""])] + [(99, None)], "id long, media binary")
+    got = matroska.packet_table(rows).collect()
+    assert sum(r["id"] == 0 for r in got) == 30 and not any(r["error"] for r in got if r["id"] == 0)
+    assert any(r["error"] for r in got) and all((r["track"] is None) == (r["error"] is not None) for r in got) and not any(r["id"] == 99 for r in got)
+
+
+def test_cues_of_several_tracks():
+    at = lambda t, c: matroska.element(matroska.CUE_POSITIONS, matroska.uint(matroska.CUE_TRACK, t) + matroska.uint(matroska.CUE_CLUSTER, c))
+    point = matroska.element(matroska.CUE_POINT, matroska.uint(matroska.CUE_TIME, 7) + at(1, 10) + at(2, 20))
+    found = matroska.parse(matroska.element(matroska.SEGMENT, matroska.element(matroska.CUES, point))).cues
+    assert [(t, c) for _, t, c in found] == [(1, found[0][2]), (2, found[0][2] + 10)]
+
+
 # Byte-level BPE
 
 
@@ -314,6 +342,34 @@ def test_near_duplicates_against_brute_force(spark, leaf, block):
     assert got == brute_components(zip(ids, texts, strict=True))
 
 
+@pytest.mark.parametrize("paired", [1, 1000])
+def test_families_and_large_groups_of_near_copies_against_brute_force(spark, paired):
+    """A group of near copies larger than leaves and blocks, and a family of pages whose pairs lie about and below the threshold."""
+    rng, texts = random.Random(21), []
+    for changes, n in (((0, 1, 2, 3, 4), 160), ((2, 4, 6, 8, 10), 110)):
+        base = [rng.choice("abcdefghij") + str(rng.randint(0, 900)) for _ in range(180)]
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rng.choice(changes)):
+                w[rng.randrange(len(w))] = "x" + str(rng.random())
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(docs, 24, 30, paired=paired).collect()}
+    want = brute_components(enumerate(texts))
+    assert got == want and 3 < len({c for _, c in want.values()}) < 110
+
+
+def test_intersections_of_all_pairs():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(30)]
+    found = near_dedup.shared(sets)
+    assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(i))
+    low = rng.integers(0, 3, (131, near_dedup.SLOTS)).astype(np.uint8)
+    assert (near_dedup.equal_slots(low, low) == (low[:, None] == low[None]).sum(2)).all() and (near_dedup.equal_slots(low[:9], low[50:]) == (low[:9, None] == low[None, 50:]).sum(2)).all()
+    assert near_dedup.reached(np.array([[0, 1, 0, 0], [1, 0, 0, 1], [0, 0, 0, 0], [0, 1, 0, 0]], bool)).tolist() == [0, 0, 2, 0]
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = by_text(near_dedup.near_groups(odd), "doc_id", "component_id", "kept")
     assert got == sorted([(5, 3, False), (3, 3, True), (3, 3, True), (None, None, True), (7, 7, True), (8, 8, True), (9, 9, True), (1, 1, True), (2, 2, True), (4, 4, True), (6, 4, False)], key=str)
@@ -356,11 +412,46 @@ def test_toxic_words_and_their_misspellings():
     text = lambda bad: " ".join([rng.choice(words) for _ in range(60)] + (["idiotic", "moron"] if bad else [])[: 2 * bad] + [rng.choice(words) for _ in range(40)])
     y = np.array([i % 4 == 0 for i in range(400)], np.int64)
     model = toxicity.train([text(bool(v)) for v in y], y, np.ones(400))
-    p = lambda t: model.probability(model.highest(t))
+    p = model.score
     assert p("river stone idiotic green") > 0.5 > 0.3 > p("river stone green window paper")
     assert p("garden idiotc music") > p("garden music letter")
-    assert 0 <= p("") <= p("river stone idiotic green")
+    assert 0 <= p("") == p(" !? ") <= p("river stone idiotic green")
     assert toxicity.train(["a", "b"], np.array([0, 0]), np.ones(2)) is None
+    assert toxicity.train(["", " "], np.array([0, 1]), np.ones(2)) is None
+
+
+def scored(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = QUERIES["op5_toxicity"](spark, sf).join(labels, "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    return [r for r in rows if r["held_out"]]
+
+
+#: Labels are noisy: of the held-out toxic texts of sf0.01 four of 14, and of sf0.1 seven of 120, have no word or misspelling of the others'.
+@pytest.mark.parametrize(("sf", "recall", "false"), [("sf0.01", 0.7, 0.03), ("sf0.1", 0.92, 0.015)])
+def test_toxicity_on_held_out_rows(spark, sf, recall, false):
+    held = scored(spark, f"/root/testdata/{sf}")
+    assert np.mean([r["predicted"] for r in held if r["toxic"]]) >= recall
+    assert np.mean([r["predicted"] for r in held if not r["toxic"]]) <= false
+
+
+def test_toxicity_of_odd_rows_and_repeated_ids(spark, odd, none):
+    words = ["alpha", "river", "stone", "green", "window", "paper"]
+    rng = random.Random(1)
+    # One doc_id has 300 rows, and labels come twice, with nulls and for rows that aren't there
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + (" moron idiot" if i % 3 == 0 else ""), "en", "s", 0) for i in range(90)] + [(1, f"paper {k}", "en", "s", 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit("clash") for n in ("toxic", "score", "_place")})
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] * 2 + [(None, 1), (4, None)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    texts, y, weight = toxicity.labelled_sample(docs, labels)
+    learnable = [i for i in range(90) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(texts) == len(learnable) == len(y) == len(weight) and y.sum() == sum(i % 3 == 0 for i in learnable)
+    model = toxicity.train(texts, y, weight)
+    got = {(r["doc_id"], round(r["score"], 9)) for r in toxicity.toxicity(odd, model).collect()}
+    low = round(model.score(""), 9)
+    assert {(7, low), (8, low), (9, low)} <= got and toxicity.toxicity(odd, model).count() == len(ODD)
+    assert toxicity.toxicity(none, model).count() == 0 and toxicity.labelled_sample(none, labels)[0] == []
+    assert toxicity.train(*toxicity.labelled_sample(docs, labels.limit(0))) is None
+    assert {r["score"] for r in toxicity.toxicity(odd, None).collect()} == {0.0}
 
 
 def test_character_model_against_brute_force():
