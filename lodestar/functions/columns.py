@@ -146,7 +146,7 @@ def contains_ci(text: Column, part: str) -> Column:
 
 def display_label(labels: Column, reserved: tuple[str, ...] = ("__Entity__", "__KGBuilder__")) -> Column:
     """The first label that isn't reserved; Entity where there is none."""
-    return F.coalesce(F.element_at(F.filter(labels, lambda x: ~x.isin(*reserved)), 1), F.lit("Entity"))
+    return F.coalesce(F.try_element_at(F.filter(labels, lambda x: ~x.isin(*reserved)), F.lit(1)), F.lit("Entity"))
 
 
 def member_id(ids: Column) -> Column:
@@ -162,3 +162,12 @@ def cost(prompt_tokens: Column, completion_tokens: Column, prompt_price: Column,
 def type_name(value: Column) -> Column:
     """Type of a JSON value held as text."""
     return F.when(value.isNull() | (F.trim(value) == "null"), "null").when(F.trim(value).isin("true", "false"), "boolean").when(value.rlike("^\\s*-?\\d+\\s*$"), "integer").when(value.rlike("^\\s*-?\\d+(\\.\\d+)?([eE][-+]?\\d+)?\\s*$"), "number").when(value.rlike("^\\s*\\["), "array").when(value.rlike("^\\s*\\{"), "object").otherwise("string")
+
+
+def json_safe(value: Column) -> Column:
+    """A value held as text as JSON text: numbers and booleans as they are, NaN and infinities null, other text quoted."""
+    text = F.trim(value)
+    plain = text.rlike("^-?(0|[1-9]\\d*)(\\.\\d+)?([eE][-+]?\\d+)?$") | text.isin("true", "false", "null")
+    lost = value.isNull() | F.lower(text).isin("nan", "inf", "-inf", "infinity", "-infinity")
+    quoted = F.substring(F.to_json(F.struct(value.alias("v"))), 6, 1_000_000_000)  # without {"v":
+    return F.when(lost, "null").when(plain, text).otherwise(F.substring(quoted, F.lit(1), F.length(quoted) - 1))

@@ -121,7 +121,7 @@ def match_capabilities(tools: DataFrame, wanted: list[str], tags: list[str] | No
     """Tools that have every capability (array of structs with a name), every tag, and the text in their name or description."""
     found = tools
     for name in wanted:
-        found = found.where(F.exists("capabilities", lambda c, name=name: c["name"] == name))
+        found = found.where(F.exists("capabilities", (lambda n: lambda c: c["name"] == n)(name)))
     for tag in tags or []:
         found = found.where(F.array_contains("tags", tag))
     if text:
@@ -144,3 +144,43 @@ def moving_average(rows: DataFrame, by: str, order: str, value: str, alpha: floa
     own = rows.withColumn("i", F.row_number().over(w.orderBy(order))).withColumn("n", F.count("*").over(w))
     weight = F.pow(F.lit(1 - alpha), F.col("n") - F.col("i")) * F.when(F.col("i") == 1, 1.0).otherwise(alpha)
     return own.groupBy(by).agg(F.sum(F.col(value) * weight).alias("ema"))
+
+
+def cursor(offset: Column, last_id: Column) -> Column:
+    """An opaque page cursor: the JSON of offset and last id in URL-safe base64 without padding."""
+    raw = F.base64(F.to_json(F.struct(offset.cast("long").alias("o"), last_id.cast("string").alias("id"))).cast("binary"))
+    return F.translate(F.regexp_replace(raw, "[=\\s]+", ""), "+/", "-_")
+
+
+def cursor_parts(text: Column) -> Column:
+    """Offset and last id of a cursor as a struct; null for one that is malformed, has no offset or a negative one; a null or empty one is the first page."""
+    bare = F.translate(text, "-_", "+/")
+    padded = F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4))))
+    raw = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    found = F.from_json(raw, "o long, id string")
+    first = F.struct(F.lit(0).cast("long").alias("o"), F.lit(None).cast("string").alias("id"))
+    return F.when(text.isNull() | (text == ""), first).when((F.length(text) <= 4096) & (found["o"] >= 0), found)
+
+
+def clamped(limit: Column, default: int, most: int) -> Column:
+    """A page size within 1..most, default where it is null."""
+    return F.when(limit.isNull(), default).otherwise(F.greatest(F.lit(1), F.least(F.lit(most), limit)))
+
+
+def cube_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts by every set of the columns, with grouping_id telling which set a row belongs to."""
+    return rows.cube(*columns).agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("grouping_id"))
+
+
+def service_accounts(accounts: DataFrame, grants: DataFrame, now: Column) -> DataFrame:
+    """Service accounts (account_id, org_id, name) that aren't revoked, with the graphs that they are granted (account_id, graph_id)."""
+    held = grants.where(active(now)).groupBy("account_id").agg(F.array_sort(F.collect_set("graph_id")).alias("graphs"))
+    live = accounts.where(F.coalesce("is_active", F.lit(True)))
+    return live.join(held, "account_id", "left").withColumn("graphs", F.coalesce("graphs", F.array().cast("array<string>")))
+
+
+def workflow_instances(instances: DataFrame, workflows: DataFrame) -> DataFrame:
+    """Each workflow (workflow_id, name) with how many instances it has by status, those without one too, latest first."""
+    by = instances.groupBy("workflow_id").agg(F.count("*").alias("instances"), F.count_if(F.col("status") == "running").alias("running"), F.max("started_at").alias("last_started_at"))
+    own = workflows.join(by, "workflow_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("instances", "running")})
+    return own.orderBy(F.desc_nulls_last("last_started_at"), "workflow_id")

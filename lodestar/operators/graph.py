@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,3 +148,14 @@ def visual_payload(nodes: DataFrame, edges: DataFrame, members: DataFrame | None
 
 def induced_edges(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return both_ends(edges, chosen)
+
+
+def report(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, members: DataFrame) -> DataFrame:
+    """Figures of a combined analysis of the anchors (id): part and value. members: member_id, community_id."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    value = lambda df, name, of: df.agg(of.cast("double").alias("value")).select(F.lit(name).alias("part"), "value")
+    near = both.join(anchors.select(F.col("id").alias("src")), "src", "left_semi")
+    at = anchors.select("id").unionByName(near.select(F.col("dst").alias("id"))).distinct()
+    degrees = both.groupBy("src").agg(F.count("*").alias("degree"))
+    parts = [value(near, "neighbours", F.count_distinct("dst")), value(degrees, "influential", F.max("degree")), value(members.join(at.select(F.col("id").alias("member_id")), "member_id", "left_semi"), "communities", F.count_distinct("community_id")), value(edges, "edges", F.count("*"))]
+    return reduce(DataFrame.unionByName, parts)

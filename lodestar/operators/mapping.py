@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns that carry bookkeeping, self references by name, and prefixes of junction tables.
-AUDIT = ["created_at", "updated_at", "deleted_at", "created_by", "updated_by", "modified_at", "modified_by"]
+AUDIT = ["created_at", "updated_at", "deleted_at", "created_by", "updated_by", "modified_at", "modified_by", "id"]
 SELF_REFERENCES = {"parent_id": "HAS_CHILD", "manager_id": "MANAGES", "supervisor_id": "SUPERVISES", "reports_to": "MANAGES", "parent": "HAS_CHILD"}
 JUNCTION_PREFIXES = ["t_", "rel_", "jn_", "jt_", "map_", "link_", "xref_", "assoc_"]
 

@@ -106,14 +106,33 @@ def similar_edges(vectors: DataFrame, k: int, least: float, block: list[str] | N
     Each block's vectors meet each other, which costs the square of its size: block by tenant, label or a hash of the vector.
     """
     by = block or []
+    if not by:
+        raise ValueError("similar_edges needs columns to block by; retrieval.ann_index gives buckets where there are none")
     own = vectors.select("id", "embedding", *by)
     a, b = own.withColumnsRenamed({"id": "a", "embedding": "va"}), own.withColumnsRenamed({"id": "b", "embedding": "vb"})
-    pairs = a.join(b, by) if by else a.join(b, F.lit(True))
+    pairs = a.join(b, by)
     near = pairs.where("a <> b").select("a", "b", cosine_score(F.col("va"), F.col("vb")).alias("score"))
     top = near.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))).where((F.col("k") <= k) & (F.col("score") >= least))
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
+def same_as_links(nodes: DataFrame, others: DataFrame, least: float = STORE, near: int = 10) -> DataFrame:
+    """SAME_AS links between two graphs' nodes (id, name, type, bucket, embedding): a, b, confidence, path.
+
+    Equal names are linked with 0.99. A node without such a partner meets the near nearest vectors of its bucket and is linked
+    to those whose score of vector, name and type, without neighbours' weight, is at least least. Names and buckets are equi-joins.
+    """
+    a = nodes.select(F.col("id").alias("a"), "name", "type", "bucket", "embedding").withColumn("key", F.lower(F.trim("name")))
+    b = others.select(F.col("id").alias("b"), F.col("name").alias("b_name"), F.col("type").alias("b_type"), "bucket", F.col("embedding").alias("vb")).withColumn("key", F.lower(F.trim("b_name")))
+    exact = a.select("a", "key").join(b.select("b", "key"), "key").select("a", "b", F.lit(0.99).alias("confidence"), F.lit("exact").alias("path"))
+    rest = a.join(exact.select("a"), "a", "left_anti").drop("key").join(b.drop("key"), "bucket").withColumn("v", cosine_score(F.col("embedding"), F.col("vb")))
+    top = rest.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy(F.desc("v"), "b"))).where(F.col("k") <= near)
+    name = jaro_winkler_udf(normalise_name(F.col("name")), normalise_name(F.col("b_name")))
+    score = (F.col("v") * SIGNALS["embedding"] + name * SIGNALS["name"] + type_score(F.col("type"), F.col("b_type")) * SIGNALS["type"]) / (1 - SIGNALS["context"])
+    scored = top.select("a", "b", score.alias("confidence"), F.lit("vector").alias("path"))
+    return exact.unionByName(scored.where(F.col("confidence") >= least))
+
+
 def federated_search(nodes: DataFrame, graph_ids: list[str], term: str, per_graph: int = 50) -> DataFrame:
     """Nodes of the graphs whose name has the term, so many of each graph."""
     own = nodes.where(F.col("graph_id").isin(graph_ids)).where(F.lower("name").contains(term.lower()))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,6 +68,67 @@ def scaled(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(ends)).withColumn("score", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0))).drop("lo", "hi")  # ends is one row
 
 
+def hyperplanes(size: int, bits: int, tables: int, seed: int = 17) -> list[list[list[float]]]:
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((tables, bits, size)).round(4).tolist()
+
+
+def ann_index(vectors: DataFrame, size: int, bits: int = 6, tables: int = 4, key: str = "id") -> DataFrame:
+    """key, table, bucket, embedding: each vector in one bucket of every table, by the signs of its products with random planes."""
+    dot = lambda plane: F.aggregate(F.zip_with("embedding", F.array(*[F.lit(x) for x in plane]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    bucket = [sum((F.when(dot(p) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes)), F.lit(0)) for planes in hyperplanes(size, bits, tables)]
+    at = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), b.alias("bucket")) for t, b in enumerate(bucket)])).alias("at")
+    return vectors.where("embedding is not null").select(key, "embedding", at).select(key, "at.table", "at.bucket", "embedding")
+
+
+def ann_topk(index: DataFrame, query: list[float], bits: int = 6, tables: int = 4, key: str = "id", n: int = 10, least: float | None = None) -> DataFrame:
+    """key and score of the nearest vectors among the query's buckets and those one sign away: a filter on (table, bucket), then exact scores."""
+    wanted = []
+    for t, planes in enumerate(hyperplanes(len(query), bits, tables)):
+        own = sum(1 << i for i, p in enumerate(planes) if float(np.dot(p, query)) >= 0)
+        wanted += [(F.col("table") == t) & F.col("bucket").isin([own, *[own ^ 1 << i for i in range(bits)]])]
+    near = index.where(reduce(lambda a, b: a | b, wanted)).dropDuplicates([key])
+    return vector_topk(near, query, key, n, least)
+
+
+def capped_sources(strategies: list[tuple[str, DataFrame, int]], key: str = "chunk_id") -> DataFrame:
+    """Sources of several strategies one after the other, each with its own cap, a source that an earlier one has left out: strategy, key, score."""
+    parts = []
+    for i, (name, found, most) in enumerate(strategies):
+        best = found.select(key, "score").orderBy(F.desc("score"), key).limit(most)
+        parts.append(best.select(F.lit(name).alias("strategy"), key, "score", F.lit(i).alias("_at")))
+    every = reduce(DataFrame.unionByName, parts)
+    first = every.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy("_at")))
+    return first.where("_k = 1").select("strategy", key, "score")
+
+
+#: The search modes.
+MODES = ("fast", "balanced", "comprehensive", "drift", "legacy")
+
+
+def search(mode: str, vector: DataFrame, text: DataFrame, edges: DataFrame, members: DataFrame, n: int = 5) -> DataFrame:
+    """What a search mode gathers: kind (source, relation, community), key, score. vector, text: id and score; edges: src, type, dst; members: member_id, community_id.
+
+    fast takes the nearest vectors; balanced adds the relations of the n best; comprehensive their communities too; drift begins
+    with the communities and goes to their members' relations; legacy is text search. An unknown mode is balanced, and where no
+    vector is found any mode falls back to legacy.
+    """
+    mode = mode if mode in MODES else "balanced"
+    source = lambda df: df.select(F.lit("source").alias("kind"), F.col("id").alias("key"), "score")
+    if mode == "legacy" or vector.isEmpty():
+        return source(text)
+    best = vector.orderBy(F.desc("score"), "id").limit(n).select("id", "score")
+    relation = lambda ids: edges.join(ids.select(F.col("id").alias("src"), "score"), "src").groupBy(F.concat_ws(" ", "src", "type", "dst").alias("key")).agg(F.max("score").alias("score")).select(F.lit("relation").alias("kind"), "key", "score")
+    groups = members.join(best.withColumnRenamed("id", "member_id"), "member_id").groupBy(F.col("community_id").alias("key")).agg(F.max("score").alias("score")).select(F.lit("community").alias("kind"), "key", "score")
+    if mode == "drift":
+        inside = members.join(groups.select(F.col("key").alias("community_id"), "score"), "community_id").select(F.col("member_id").alias("id"), "score")
+        return groups.unionByName(relation(inside))
+    found = source(vector)
+    if mode != "fast":
+        found = found.unionByName(relation(best))
+    return found.unionByName(groups) if mode == "comprehensive" else found
+
+
 def hybrid(vector: DataFrame, text: DataFrame, key: str, alpha: float = 0.5, n: int = 10, ranker: str = "linear") -> DataFrame:
     """Both result lists as one: linear weighs their scaled scores, naive takes the better one."""
     v, t = scaled(vector).withColumnRenamed("score", "v"), scaled(text).withColumnRenamed("score", "t")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +22,22 @@ def upsert_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_edges(stored: DataFrame, incoming: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Stored edges and the incoming ones whose ends exist, each (graph_id, src, type, dst) once."""
+    """Stored edges and the incoming ones whose ends exist, each (graph_id, src, type, dst) once. Of columns that both have the
+    incoming value counts where it isn't null; properties are merged, new values first."""
     keys = ["graph_id", "src", "type", "dst"]
-    return stored.select(*keys).unionByName(both_ends(incoming, nodes).select(*keys)).distinct()
+    values = [c for c in dict.fromkeys([*stored.columns, *incoming.columns]) if c not in keys]
+    side = lambda df, name: df.dropDuplicates(keys).select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys])
+    both = side(stored, "old").join(side(both_ends(incoming, nodes), "new"), keys, "full")
+
+    def merged(c: str) -> Column:
+        there = [F.col(f"{n}_{c}") for n in ("new", "old") if f"{n}_{c}" in both.columns]
+        if c != "props" or len(there) < 2:
+            return F.coalesce(*there)
+        empty = F.create_map().cast(both.schema[f"old_{c}"].dataType)
+        new, old = F.coalesce(there[0], empty), F.coalesce(there[1], empty)
+        return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+
+    return both.select(*keys, *[merged(c).alias(c) for c in values])
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, graph_id: str, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -92,3 +108,66 @@ def provenance_backfill(rows: DataFrame) -> DataFrame:
 def organisation_backfill(rows: DataFrame, defaults: DataFrame) -> DataFrame:
     """rows with org_id from their owner's default organisation (owner, default_org) where they have none."""
     return rows.join(defaults.select("owner", "default_org"), "owner", "left").withColumn("org_id", F.coalesce("org_id", "default_org")).drop("default_org")
+
+
+def write_code_graph(stored: DataFrame, symbols: DataFrame, now: Column) -> DataFrame:
+    """Code nodes (qualified_name, kind, path, content_hash) after a parse: those of parsed files are replaced, others stay; updated_at tells when."""
+    parsed = symbols.select("path").distinct()
+    kept = stored.join(parsed, "path", "left_anti")
+    same = stored.select("qualified_name", "content_hash", F.col("updated_at").alias("was"))
+    fresh = symbols.dropDuplicates(["qualified_name"]).join(same, ["qualified_name", "content_hash"], "left").withColumn("updated_at", F.coalesce("was", now)).drop("was")
+    return kept.unionByName(fresh.select(*stored.columns))
+
+
+def without_stale_code(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Code nodes and edges (src, dst: qualified names) without those of files (path) that aren't there any more."""
+    live = nodes.join(files.select("path"), "path", "left_semi")
+    names = live.select(F.col("qualified_name").alias("id"))
+    return live, both_ends(edges, names)
+
+
+#: Fixed value: bytes that a result may have once it is unpacked.
+MOST_UNPACKED = 64 * 1024 * 1024
+
+
+def packed_results(rows: DataFrame, key: str, column: str, most: int = MOST_UNPACKED) -> DataFrame:
+    """key, packed (zstd), n_bytes and truncated of a text column; of a longer text only the first most bytes are kept, and null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            data = [None if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            cols = [pa.array([None if d is None else pack(d[:most]) for d in data], pa.binary()), pa.array([None if d is None else len(d) for d in data], pa.int64()), pa.array([None if d is None else len(d) > most for d in data], pa.bool_())]
+            yield pa.record_batch([batch.column(0), *cols], [key, "packed", "n_bytes", "truncated"])
+
+    own = rows.select(key, column)
+    return own.mapInArrow(run, f"{key} {own.schema[key].dataType.simpleString()}, packed binary, n_bytes long, truncated boolean")
+
+
+def unpacked_results(rows: DataFrame, key: str, most: int = MOST_UNPACKED) -> DataFrame:
+    """key, content and error of packed results; what would unpack to more than most bytes, or can't be, gives an error and no content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in batches:
+            content: list[bytes | None] = []
+            errors: list[str | None] = []
+            for held in batch.column(1).to_pylist():
+                found, error = None, None
+                if held is not None:
+                    try:
+                        with zstandard.ZstdDecompressor().stream_reader(held) as reader:
+                            found = reader.read(most + 1)
+                    except zstandard.ZstdError as e:
+                        error = str(e)
+                    if found is not None and len(found) > most:
+                        found, error = None, f"more than {most} bytes"
+                content.append(found)
+                errors.append(error)
+            yield pa.record_batch([batch.column(0), pa.array(content, pa.binary()), pa.array(errors, pa.string())], [key, "content", "error"])
+
+    own = rows.select(key, "packed")
+    return own.mapInArrow(run, f"{key} {own.schema[key].dataType.simpleString()}, content binary, error string")

@@ -75,6 +75,20 @@ def next_version(versions: DataFrame, graph_id: str, captured_at: Column, nodes:
     return last.join(n).join(e).select(F.lit(graph_id).alias("graph_id"), "version_number", captured_at.alias("captured_at"), "entity_count", "relationship_count")  # three single rows
 
 
+def version_page(versions: DataFrame, graph_id: str, offset: int = 0, limit: int = 20) -> DataFrame:
+    """A graph's versions, newest first."""
+    return versions.where(F.col("graph_id") == graph_id).orderBy(F.desc("version_number")).offset(offset).limit(limit)
+
+
+def version_of(versions: DataFrame, graph_id: str, number: int) -> DataFrame:
+    return versions.where((F.col("graph_id") == graph_id) & (F.col("version_number") == number))
+
+
+def without_version(versions: DataFrame, graph_id: str, number: int) -> DataFrame:
+    """versions without one of them; the numbers of the others stay."""
+    return versions.where(~((F.col("graph_id") == graph_id) & (F.col("version_number") == number)))
+
+
 def changes(rows: DataFrame, t1: Column, t2: Column, kind: str, key: str = "id") -> DataFrame:
     """What came or went between two times, whichever is earlier: change, kind, key, at."""
     a, b = F.least(t1, t2), F.greatest(t1, t2)

@@ -18,7 +18,8 @@ from lodestar.functions.columns import type_name
 
 DATES = ["^\\d{4}-\\d{2}-\\d{2}$", "^\\d{1,2}/\\d{1,2}/\\d{4}$", "^\\d{1,2}-\\d{1,2}-\\d{4}$", "^\\d{4}/\\d{1,2}/\\d{1,2}$"]
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".go": "go", ".java": "java"}
-SKIPPED = ["node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", "vendor", "target"]
+#: Folders that aren't walked, besides those whose names begin with a dot.
+SKIPPED = ["node_modules", "__pycache__", "venv", ".venv"]
 
 
 def delimiter(spark: SparkSession, path: str) -> str:
@@ -84,7 +85,7 @@ def json_profile(rows: DataFrame, column: str) -> DataFrame:
 
 
 def markdown_sections(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """Sections of Markdown texts: key, at (line), level, heading, parent and content. The parent is the last heading of a smaller level."""
+    """Sections of Markdown texts: key, at (line), level, heading, parent, its line and content. The parent is the last heading of a smaller level."""
     lines = docs.select(key, F.posexplode(F.split(column, "\n")).alias("at", "line"))
     level = F.length(F.regexp_extract("line", "^(#{1,6})\\s+(.+?)\\s*$", 1))
     lines = lines.withColumn("level", F.when(level > 0, level)).withColumn("heading", F.when(level > 0, F.regexp_extract("line", "^(#{1,6})\\s+(.+?)\\s*$", 2)))
@@ -94,10 +95,11 @@ def markdown_sections(docs: DataFrame, key: str = "doc_id", column: str = "text"
     heads = lines.where("level is not null")
     for n in range(1, 6):
         # The last heading of level n counts if no heading above n came after it
-        last = F.last(F.when(F.col("level") <= n, F.struct("level", "heading")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+        last = F.last(F.when(F.col("level") <= n, F.struct("level", "heading", "at")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
         heads = heads.withColumn(f"l{n}", last)
-    parent = F.coalesce(*[F.when((F.col("level") == n + 1), F.col(f"l{n}.heading")) for n in range(1, 6)])
-    return heads.withColumn("parent", parent).join(body, [key, "section"], "left").select(key, "at", "level", "heading", "parent", F.coalesce("content", F.lit("")).alias("content"))
+    parent = lambda what: F.coalesce(*[F.when((F.col("level") == n + 1), F.col(f"l{n}.{what}")) for n in range(1, 6)])
+    heads = heads.withColumns({"parent": parent("heading"), "parent_at": parent("at")})
+    return heads.join(body, [key, "section"], "left").select(key, "at", "level", "heading", "parent", "parent_at", F.coalesce("content", F.lit("")).alias("content"))
 
 
 def code_files(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
@@ -106,8 +108,10 @@ def code_files(spark: SparkSession, root: str, exclude: list[str] | None = None)
     ending = F.regexp_extract("path", "(\\.[A-Za-z]+)$", 1)
     language = F.coalesce(*[F.when(ending == e, v) for e, v in LANGUAGES.items()])
     keep = language.isNotNull()
+    below = F.expr(f"substring_index(path, '{root.rstrip('/').rsplit('/', 1)[-1]}/', -1)")  # what lies above the root doesn't count
+    keep = keep & ~F.concat(F.lit("/"), below).rlike("/\\.[^/]+/")
     for name in SKIPPED:
-        keep = keep & ~F.col("path").contains(f"/{name}/")
+        keep = keep & ~F.concat(F.lit("/"), below).contains(f"/{name}/")
     for glob in exclude or []:
         keep = keep & ~F.col("path").rlike(re.escape(glob).replace("\\*", ".*").replace("\\?", ".") + "$")
     return files.where(keep).select("path", language.alias("language"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("content"))

@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF, rows
 
-from lodestar.plans import records  # noqa: F401
+from lodestar.plans import more, records  # noqa: F401
 from lodestar.plans.queries import QUERIES, SQL
 
 
