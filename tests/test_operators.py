@@ -26,6 +26,22 @@ def test_every_node_is_once_in_each_level_and_finer_levels_have_more(spark, ten)
     assert sizes == sorted(sizes)
 
 
+def test_communities_are_connected_and_cliques_stay_whole(spark):
+    ring = [(f"k{g}_{a}", f"k{g}_{b}") for g in range(6) for a in range(5) for b in range(a)] + [(f"k{g}_0", f"k{(g + 1) % 6}_1") for g in range(6)]
+    found = community.detect(spark.createDataFrame([("ring", a, b) for a, b in ring], "graph_id string, src string, dst string"), (0.25, 1.0)).toPandas()
+    for level, own in found.groupby("level"):
+        where = dict(zip(own.member_id, own.community_id, strict=True))
+        assert all(len({where[f"k{g}_{i}"] for i in range(5)}) == 1 for g in range(6))
+        for c in set(where.values()):
+            inside = {v for v in where if where[v] == c}
+            seen = front = {min(inside)}
+            while front:
+                front = {b for e in ring for a, b in (e, e[::-1]) if a in front and b in inside} - seen
+                seen = seen | front
+            assert seen == inside, (level, c)
+    assert found[found.level == 1].community_id.nunique() == 6
+
+
 def test_label_propagation_covers_all(ten):
     found = community.label_propagation(ten[1], ten[0]).toPandas()
     assert sorted(found.id) == [str(i) for i in range(10)]
