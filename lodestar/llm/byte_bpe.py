@@ -17,6 +17,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -178,6 +179,12 @@ class ByteBPE:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=1)
+def bpe_of(path: str) -> ByteBPE:
+    """A worker's encoder: one for all its tasks, with the pieces that it has learned, up to REMEMBERED."""
+    return ByteBPE(path)
+
+
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 
 
@@ -186,7 +193,7 @@ def byte_bpe(docs: DataFrame, path: str | None = None, keep_ids: bool = True) ->
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(path)
+        bpe = bpe_of(path)
         for batch in batches:
             texts = batch.column("text")
             for a, b in groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), TEXT_AT_ONCE):

@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -108,6 +109,12 @@ class PartEncoder:
         return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> PartEncoder:
+    """A worker's encoder: one for all its tasks, with the parts that it has learned, up to REMEMBERED."""
+    return PartEncoder(path)
+
+
 def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Cut a list into runs of about so much size; one that is larger stands alone."""
     begin = total = 0
@@ -122,7 +129,7 @@ def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 def cut(path: str, size: int = SEQUENCE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, ranks = PartEncoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        encoder, part, ranks = encoder_of(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
