@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_fallback: tempfile.TemporaryDirectory | None = None
+
+
 def held(df: DataFrame) -> DataFrame:
-    """df written once where lineage must be cut: to the folder of spark.checkpoint.dir, or cached where it is unset (tests)."""
+    """df written once where lineage must be cut: to the folder of spark.checkpoint.dir, or to a temporary one where it is unset and all runs on one machine (tests)."""
+    global _fallback
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df.persist()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if _fallback is None:
+            _fallback = tempfile.TemporaryDirectory(prefix="lodestar-")
+            atexit.register(_fallback.cleanup)
+        folder = "file://" + _fallback.name
     path = f"{folder.rstrip('/')}/lodestar/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from lodestar import model
 from lodestar.functions import columns as C
 from lodestar.model import table
 from lodestar.operators import access, code, graph, mapping, memory, resolve, retrieval, sinks, temporal
-from lodestar.plans.queries import CE, ES, NOW, OV, SMALL, T1, T2, at, code_edges, query, query_vector, vectors, versioned_orders
+from lodestar.plans.queries import CE, E, NOW, OV, T1, T2, at, code_edges, query, query_vector, vectors, versioned_orders
 from lodestar.sources import connectors, files
 from lodestar.streaming import feeds
 
@@ -470,12 +470,12 @@ def json_safe_values(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), C.json_safe(value).alias("json"))
 
 
-@query(f"""WITH {ES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)
+@query(f"""WITH {E}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)
 SELECT 'neighbours' AS part, count(*)::DOUBLE AS value FROM (SELECT DISTINCT dst FROM u WHERE src IN ('nation:1', 'nation:2'))
 UNION ALL SELECT 'influential', max(degree)::DOUBLE FROM d UNION ALL SELECT 'communities', count(DISTINCT c_nationkey)::DOUBLE FROM customer WHERE c_nationkey IN (1, 2)
 UNION ALL SELECT 'edges', count(*)::DOUBLE FROM edges""")
 def analysis_report(spark, sf):
-    edges, nodes = model.edges(spark, sf, SMALL), model.nodes(spark, sf, ["Region", "Nation", "Customer", "Supplier"])
+    edges, nodes = model.edges(spark, sf), model.nodes(spark, sf)
     anchors = spark.createDataFrame([("nation:1",), ("nation:2",)], "id string")
     members = table(spark, sf, "customer").select(model.key("Customer", "c_custkey").alias("member_id"), model.key("Nation", "c_nationkey").alias("community_id"))
     return graph.report(nodes, edges, anchors, members)

@@ -51,12 +51,6 @@ E = """edges AS (
   UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'IN_NATION' FROM customer
   UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'IN_NATION' FROM supplier
   UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'PLACED_BY' FROM orders)"""
-#: Without the orders: small enough for paths.
-SMALL = ["IN_REGION", "IN_NATION"]
-ES = """edges AS (
-  SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst, 'IN_REGION' AS type FROM nation
-  UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'IN_NATION' FROM customer
-  UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'IN_NATION' FROM supplier)"""
 
 
 @query(f"""WITH {N}, {E}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)
@@ -77,17 +71,17 @@ def edge_weight_collapse(spark, sf):
     return graph.collapse_edges(items)
 
 
-@query(f"""WITH {N}, {ES}
+@query(f"""WITH {N}, {E}
 SELECT a.name AS anchor_name, r1.type AS rel1, h1.name AS hop1_name, r2.type AS rel2, h2.name AS hop2_name
 FROM nodes a JOIN edges r1 ON r1.src = a.id JOIN nodes h1 ON h1.id = r1.dst
 LEFT JOIN edges r2 ON r2.src = h1.id LEFT JOIN nodes h2 ON h2.id = r2.dst
 WHERE lower(a.name) LIKE '%customer#00000001%'
 ORDER BY anchor_name, rel1, hop1_name, rel2 NULLS FIRST, hop2_name NULLS FIRST LIMIT 20""")
 def expand_two_hop(spark, sf):
-    return graph.multihop(model.edges(spark, sf, SMALL), model.nodes(spark, sf, ["Region", "Nation", "Customer", "Supplier"]), "customer#00000001")
+    return graph.multihop(model.edges(spark, sf), model.nodes(spark, sf), "customer#00000001")
 
 
-@query(f"""WITH {N}, {ES}, u AS (SELECT src, dst, type FROM edges UNION ALL SELECT dst, src, type FROM edges),
+@query(f"""WITH {N}, {E}, u AS (SELECT src, dst, type FROM edges UNION ALL SELECT dst, src, type FROM edges),
 one AS (SELECT DISTINCT src, dst, type FROM u WHERE src IN ('nation:1', 'nation:2')),
 two AS (SELECT o.*, t.far, n.name AS far_name, row_number() OVER (PARTITION BY o.src, o.dst, o.type ORDER BY t.far) AS k
   FROM one o LEFT JOIN (SELECT DISTINCT src AS dst, dst AS far FROM u) t USING (dst) LEFT JOIN nodes n ON n.id = t.far
@@ -97,7 +91,7 @@ SELECT src, dst, type, coalesce(second_hop, '') AS second_hop FROM one LEFT JOIN
 ORDER BY src, dst, type LIMIT 30""")
 def undirected_expand_slice(spark, sf):
     anchors = spark.createDataFrame([("nation:1",), ("nation:2",)], "id string")
-    return graph.neighbourhood(model.edges(spark, sf, SMALL), model.nodes(spark, sf, ["Region", "Nation", "Customer", "Supplier"]), anchors)
+    return graph.neighbourhood(model.edges(spark, sf), model.nodes(spark, sf), anchors)
 
 
 @query("""WITH l AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS hub FROM lineitem)
@@ -114,7 +108,7 @@ def shared_hub_context(spark, sf):
     return graph.shared_hubs(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("member"), F.col("l_partkey").alias("hub")))
 
 
-@query(f"""WITH {N}, {ES}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id),
+@query(f"""WITH {N}, {E}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id),
 m AS (SELECT 'customer:' || c_custkey AS id, 'nation:' || c_nationkey AS community_id FROM customer),
 c AS (SELECT n.id, name, label, coalesce(degree, 0) AS degree, community_id FROM nodes n LEFT JOIN d USING (id) LEFT JOIN m USING (id)
   WHERE label IN ('Customer', 'Nation') AND coalesce(degree, 0) >= 1)
@@ -122,13 +116,13 @@ SELECT id, name, label, degree, community_id, (SELECT count(*) FROM c) AS total,
 FROM c ORDER BY degree DESC, id LIMIT 100""")
 def visual_payload(spark, sf):
     members = table(spark, sf, "customer").select(model.key("Customer", "c_custkey").alias("member_id"), model.key("Nation", "c_nationkey").alias("community_id"), F.lit(0).alias("level"))
-    return graph.visual_payload(model.nodes(spark, sf, ["Customer", "Nation"]), model.edges(spark, sf, SMALL), members, least_degree=1, limit=100)
+    return graph.visual_payload(model.nodes(spark, sf, ["Customer", "Nation"]), model.edges(spark, sf), members, least_degree=1, limit=100)
 
 
-@query(f"""WITH {ES} SELECT src, dst, type FROM edges WHERE src LIKE 'customer:%' AND dst IN ('nation:1', 'nation:2', 'nation:3')""")
+@query(f"""WITH {E} SELECT src, dst, type FROM edges WHERE src LIKE 'customer:%' AND dst IN ('nation:1', 'nation:2', 'nation:3')""")
 def induced_subgraph(spark, sf):
     chosen = model.nodes(spark, sf, ["Customer"]).select("id").unionByName(model.nodes(spark, sf, ["Nation"]).where(F.col("id").isin("nation:1", "nation:2", "nation:3")).select("id"))
-    return graph.induced_edges(model.edges(spark, sf, SMALL), chosen).select("src", "dst", "type")
+    return graph.induced_edges(model.edges(spark, sf), chosen).select("src", "dst", "type")
 
 
 @query(f"""WITH {N}, {E}, n AS (SELECT count(*) AS node_count, count(DISTINCT label) AS label_count FROM nodes), e AS (SELECT count(*) AS edge_count, count(DISTINCT type) AS type_count FROM edges)
@@ -437,25 +431,25 @@ def ontology_coerce(spark, sf):
     return resolve.enforce_ontology(rows, ["clicks", "views", "purchases"]).groupBy("label", "ontology_status").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {ES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r(id, d) AS (SELECT 'region:1', 0 UNION SELECT u.dst, r.d + 1 FROM r JOIN u ON u.src = r.id WHERE r.d < 3)
+@query(f"""WITH RECURSIVE {E}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r(id, d) AS (SELECT 'region:1', 0 UNION SELECT u.dst, r.d + 1 FROM r JOIN u ON u.src = r.id WHERE r.d < 3)
 SELECT id, min(d) AS distance FROM r WHERE id <> 'region:1' GROUP BY id""")
 def khop_reach(spark, sf):
     start = spark.createDataFrame([("region:1",)], "id string")
-    return traverse.reach(model.edges(spark, sf, SMALL), start, 3).select("id", "distance")
+    return traverse.reach(model.edges(spark, sf), start, 3).select("id", "distance")
 
 
-@query(f"""WITH RECURSIVE {ES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), p(s, v, d, path) AS (SELECT 'customer:1', 'customer:1', 0, ['customer:1'] UNION ALL SELECT s, u.dst, d + 1, list_append(path, u.dst) FROM p JOIN u ON u.src = p.v WHERE d < 4 AND NOT list_contains(path, u.dst) AND u.dst NOT LIKE 'customer:%')
-SELECT s AS start, v AS finish, min(d) AS hops, arg_min(array_to_string(path, '>'), (d, path)) AS path FROM p WHERE v <> s AND v NOT LIKE 'customer:%' GROUP BY s, v""")
+@query(f"""WITH RECURSIVE {E}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), p(s, v, d, path) AS (SELECT 'customer:1', 'customer:1', 0, ['customer:1'] UNION ALL SELECT s, u.dst, d + 1, list_append(path, u.dst) FROM p JOIN u ON u.src = p.v WHERE d < 4 AND NOT list_contains(path, u.dst))
+SELECT s AS start, v AS finish, min(d) AS hops, arg_min(array_to_string(path, '>'), (d, path)) AS path FROM p WHERE v <> s GROUP BY s, v""")
 def shortest_path(spark, sf):
-    pairs = model.nodes(spark, sf, ["Region", "Nation", "Supplier"]).select(F.lit("customer:1").alias("start"), F.col("id").alias("finish"))
-    return traverse.shortest_paths(model.edges(spark, sf, SMALL), pairs, 4).select("start", "finish", "hops", F.array_join("path", ">").alias("path"))
+    pairs = model.nodes(spark, sf).where("id <> 'customer:1'").select(F.lit("customer:1").alias("start"), F.col("id").alias("finish"))
+    return traverse.shortest_paths(model.edges(spark, sf), pairs, 4).select("start", "finish", "hops", F.array_join("path", ">").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {ES}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), p(v, d, path) AS (SELECT 'region:0', 0, ['region:0'] UNION ALL SELECT u.dst, d + 1, list_append(path, u.dst) FROM p JOIN u ON u.src = p.v WHERE d < 3 AND NOT list_contains(path, u.dst))
+@query(f"""WITH RECURSIVE {E}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), p(v, d, path) AS (SELECT 'region:0', 0, ['region:0'] UNION ALL SELECT u.dst, d + 1, list_append(path, u.dst) FROM p JOIN u ON u.src = p.v WHERE d < 3 AND NOT list_contains(path, u.dst))
 SELECT v AS finish, d AS hops, array_to_string(path, '>') AS path FROM p WHERE d > 0 AND v LIKE 'supplier:%'""")
 def simple_paths(spark, sf):
     start = spark.createDataFrame([("region:0",)], "id string")
-    found = traverse.paths(model.edges(spark, sf, SMALL), start, 3, directed=False, ends=model.nodes(spark, sf, ["Supplier"]))
+    found = traverse.paths(model.edges(spark, sf), start, 3, directed=False, ends=model.nodes(spark, sf, ["Supplier"]))
     return found.select("finish", "hops", F.array_join("path", ">").alias("path"))
 
 
@@ -468,33 +462,33 @@ def cycles_bounded(spark, sf):
     return traverse.cycles(items.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")), 3).select("hops", F.array_join("path", ">").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {ES}, r(id, d) AS (SELECT 'customer:1', 0 UNION ALL SELECT edges.dst, d + 1 FROM r JOIN edges ON edges.src = r.id) SELECT id, d AS distance FROM r""")
+@query(f"""WITH RECURSIVE {E}, r(id, d) AS (SELECT 'customer:1', 0 UNION ALL SELECT edges.dst, d + 1 FROM r JOIN edges ON edges.src = r.id) SELECT id, d AS distance FROM r""")
 def inheritance_chain(spark, sf):
-    return traverse.chain(model.edges(spark, sf, SMALL), "customer:1")
+    return traverse.chain(model.edges(spark, sf), "customer:1")
 
 
 def _pagerank_sql(rounds: int = 20) -> str:
     """The rounds as one common table expression after the other."""
     steps = ["r0 AS MATERIALIZED (SELECT id, 0.15::DOUBLE AS rank FROM ids)"]
     steps += [f"r{i} AS MATERIALIZED (SELECT ids.id, 0.15 + 0.85 * coalesce(got, 0) AS rank FROM ids LEFT JOIN (SELECT l.dst AS id, sum(rank * share) AS got FROM l JOIN r{i - 1} r ON r.id = l.src GROUP BY l.dst) g USING (id))" for i in range(1, rounds + 1)]
-    return f"""WITH {N}, {ES}, u AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), ids AS (SELECT id FROM nodes WHERE label IN ('Region', 'Nation', 'Customer', 'Supplier')),
+    return f"""WITH {N}, {E}, u AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), ids AS (SELECT id FROM nodes),
 l AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM u), {", ".join(steps)}
 SELECT id, round(rank, 6) AS rank FROM r{rounds} ORDER BY round(r{rounds}.rank, 9) DESC, id LIMIT 10"""
 
 
 @query(_pagerank_sql())
 def pagerank_top(spark, sf):
-    return community.pagerank(model.edges(spark, sf, SMALL), model.nodes(spark, sf, ["Region", "Nation", "Customer", "Supplier"])).orderBy(F.desc(F.round("rank", 9)), "id").limit(10).select("id", F.round("rank", 6).alias("rank"))
+    return community.pagerank(model.edges(spark, sf), model.nodes(spark, sf)).orderBy(F.desc(F.round("rank", 9)), "id").limit(10).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query()
 def label_propagation(spark, sf):
-    return community.label_propagation(model.edges(spark, sf, SMALL), model.nodes(spark, sf, ["Region", "Nation", "Customer", "Supplier"]))
+    return community.label_propagation(model.edges(spark, sf), model.nodes(spark, sf))
 
 
 @query()
 def community_detect(spark, sf):
-    return community.detect(model.edges(spark, sf, SMALL)).groupBy("level", "community_id").agg(F.count("*").alias("size"))
+    return community.detect(model.edges(spark, sf), (1.0,), rounds=4, levels=2).groupBy("level", "community_id").agg(F.count("*").alias("size"))
 
 
 def two_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -674,10 +668,10 @@ def upsert_nodes(spark, sf):
     return sinks.upsert_nodes(stored, new).select("graph_id", "id", "label", F.col("props")["c_mktsegment"].alias("seg"))
 
 
-@query(f"""WITH {ES} SELECT src, dst, type FROM edges WHERE src NOT IN ('nation:3', 'nation:4') AND dst NOT IN ('nation:3', 'nation:4')""")
+@query(f"""WITH {E} SELECT src, dst, type FROM edges WHERE src NOT IN ('nation:3', 'nation:4') AND dst NOT IN ('nation:3', 'nation:4')""")
 def detach_delete(spark, sf):
     gone = spark.createDataFrame([("nation:3",), ("nation:4",)], "id string")
-    return sinks.detach_delete(model.nodes(spark, sf, ["Nation"]), model.edges(spark, sf, SMALL), gone)[1].select("src", "dst", "type")
+    return sinks.detach_delete(model.nodes(spark, sf, ["Nation"]), model.edges(spark, sf), gone)[1].select("src", "dst", "type")
 
 
 @query("""SELECT lang, count(*) AS docs, round(100.0 * count(CASE WHEN doc_id % 3 = 0 THEN 1 END) / count(*), 6)::DOUBLE AS coverage FROM documents GROUP BY lang""")

@@ -8,7 +8,7 @@ from lodestar import model
 from lodestar.functions import columns as C
 from lodestar.model import table
 from lodestar.operators import access, code, community, graph, mapping, memory, resolve, retrieval, sinks, temporal
-from lodestar.plans.queries import CO, ES, SMALL, TL, at, code_edges, companies, query, two_levels
+from lodestar.plans.queries import CO, E, TL, at, code_edges, companies, query, two_levels
 from lodestar.streaming import feeds
 
 
@@ -20,7 +20,7 @@ def community_detail(spark, sf):
     return community.detail(members, community.hierarchy(members), "region:1")
 
 
-@query(f"""WITH {ES} SELECT src, dst, type FROM edges WHERE type = 'IN_REGION' UNION SELECT 'nation:' || n_nationkey, 'region:' || ((n_regionkey + 1) % 5), 'NEAR' FROM nation""")
+@query(f"""WITH {E} SELECT src, dst, type FROM edges WHERE type = 'IN_REGION' UNION SELECT 'nation:' || n_nationkey, 'region:' || ((n_regionkey + 1) % 5), 'NEAR' FROM nation""")
 def upsert_edges(spark, sf):
     stored = model.edges(spark, sf, ["IN_REGION"])
     new = table(spark, sf, "nation").select(F.lit(model.TENANT).alias("graph_id"), model.key("Nation", "n_nationkey").alias("src"), F.concat(F.lit("region:"), ((F.col("n_regionkey") + 1) % 5).cast("string")).alias("dst"), F.lit("NEAR").alias("type"))
@@ -175,10 +175,10 @@ def sample_members(spark, sf):
     return graph.shared_hubs(links, 1, 3).select(F.col("hub").alias("label"), F.col("members").alias("n"), F.col("sample").alias("entities"))
 
 
-@query(f"""WITH {ES}, m AS (SELECT 'region:' || r_regionkey AS chunk_id, 'nation:' || n_nationkey AS id FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey > 1)
+@query(f"""WITH {E}, m AS (SELECT 'region:' || r_regionkey AS chunk_id, 'nation:' || n_nationkey AS id FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey > 1)
 SELECT chunk_id, array_to_string(list_sort(list_distinct(list(id))), ',') AS entities, array_to_string(list_sort(list_distinct(list(type || ' ' || dst))), ',') AS relations FROM m JOIN edges ON src = id GROUP BY chunk_id""")
 def graph_context(spark, sf):
     n = table(spark, sf, "nation")
     top = table(spark, sf, "region").select(model.key("Region", "r_regionkey").alias("chunk_id"), (F.col("r_regionkey") / 4.0).alias("score"))
     mentions = n.select(model.key("Region", "n_regionkey").alias("chunk_id"), model.key("Nation", "n_nationkey").alias("id"))
-    return retrieval.graph_context(top, mentions, model.edges(spark, sf, SMALL), 0.3).select("chunk_id", "entities", "relations")
+    return retrieval.graph_context(top, mentions, model.edges(spark, sf), 0.3).select("chunk_id", "entities", "relations")
