@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import byte_bpe, exact_dedup, language_id, license_scan, matroska, near_dedup, packing, quality, secret_scan, toxicity
+from lodestar.llm import byte_bpe, exact_dedup, language_id, license_scan, matroska, near_dedup, packing, quality, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_simhash": simhash.op11_simhash,
 }
 
 ORACLE_SQL = {
