@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import byte_bpe, exact_dedup, language_id, license_scan, matroska, near_dedup, packing, quality, secret_scan, simhash, toxicity
+from lodestar.llm import alignment, byte_bpe, exact_dedup, hard_negatives, language_id, license_scan, matroska, near_dedup, packing, quality, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,9 +16,12 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_simhash": simhash.op11_simhash,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
