@@ -4,8 +4,8 @@
    BPE) cuts there before it merges, and no piece of B (BPE with space marks) has the mark after another character, which is
    checked when the model is loaded. So a text's tokens are those of its parts between such places, and a group never spans one.
    Each distinct part is encoded once, aligned, and remembered.
-2. A part's tokens are the vertices of a bipartite graph, whose edges (links) are the pairs of A and B tokens that overlap in
-   bytes. Union-find over it gives the connected components: the minimal groups, in the order of the text, cut where both end.
+2. Tokens are the vertices of a bipartite graph, whose edges (links) are the pairs of A and B tokens that overlap in bytes.
+   Union-find over it, for many parts at once, gives the connected components: the minimal groups, in the order of the text.
 3. Texts are taken in blocks of about BLOCK_BYTES. A block writes one row for each text (its counts, the digest of its groups
    and how often it has each distinct part) and one for itself (its distinct id pairs, how often each is linked, and the pairs
    of its parts). The table is stored once, so a lost executor never mixes two runs' blocks.
@@ -55,54 +55,49 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-class Groups:
-    """Union-find over the overlap graph of one part: A's tokens 0..n-1, B's after them."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-
-def overlaps(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """Pairs (i, j) of tokens whose byte ranges overlap, in order."""
-    out, i, j = [], 0, 0
-    while i < len(a_ends) and j < len(b_ends):
-        out.append((i, j))
-        x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-    return out
-
-
-def aligned(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[str, int, list[int]]:
-    """The groups as text, how many there are, and the links' id pairs. Both lists of tokens end at the same byte."""
-    if len(a) == 1 and len(b) == 1:
-        return f"{a[0]}|{b[0]}", 1, [a[0] << B_BITS | b[0]]
-    links, n = overlaps(a_ends, b_ends), len(a)
-    u = Groups(n + len(b))
-    for i, j in links:
-        u.join(i, n + j)
-    members: dict[int, tuple[list[str], list[str]]] = {}
-    for i, x in enumerate(a):
-        members.setdefault(u.find(i), ([], []))[0].append(str(x))
-    for j, x in enumerate(b):
-        members[u.find(n + j)][1].append(str(x))
-    text = ";".join(f"{','.join(x)}|{','.join(y)}" for x, y in members.values())
-    return text, len(members), [a[i] << B_BITS | b[j] for i, j in links]
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places i and j of the tokens whose byte ranges overlap, in order: a pair for each stretch between neighbouring ends of either."""
+    ends = np.union1d(a_ends, b_ends)
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+
+
+def united(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Union-find over n vertices and edges (i, j), all at once: each vertex's root, the smallest vertex of its component."""
+    up = np.arange(n)
+    while True:
+        roots = np.stack([up[i], up[j]])
+        low, high = roots.min(0), roots.max(0)
+        apart = low != high
+        if not apart.any():
+            return up
+        np.minimum.at(up, high[apart], low[apart])  # a root gets the smallest root that it is joined with
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def aligned(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, str, list[int]]]:
+    """For each part (they end at ends, where tokens of both end): numbers of A's and B's tokens and of groups, the groups as text, the links' id pairs."""
+    i, j = overlaps(a_ends, b_ends)
+    root = united(len(a) + len(b), i, len(a) + j)
+    # Components begin at an A token, and their tokens follow one another
+    starts = np.flatnonzero(root[: len(a)] == np.arange(len(a)))
+    a_cut = [*starts.tolist(), len(a)]
+    b_cut = [*np.searchsorted(root[len(a) :], starts).tolist(), len(b)]
+    xs, ys = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    groups = [f"{xs[p]}|{ys[r]}" if q - p == 1 == s - r else f"{','.join(xs[p:q])}|{','.join(ys[r:s])}" for p, q, r, s in zip(a_cut, a_cut[1:], b_cut, b_cut[1:], strict=False)]
+    keys = (a[i] << B_BITS | b[j]).tolist()
+    a_at, b_at = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1
+    g_at, l_at = np.searchsorted(starts, a_at), np.searchsorted(i, a_at)
+    if (a_ends[a_at - 1] != ends).any() or (b_ends[b_at - 1] != ends).any():
+        raise ValueError("a token spans two parts of a text")
+    before = (0, 0, 0, 0)
+    for now in zip(a_at.tolist(), b_at.tolist(), g_at.tolist(), l_at.tolist(), strict=True):
+        yield now[0] - before[0], now[1] - before[1], now[2] - before[2], ";".join(groups[before[2] : now[2]]), keys[before[3] : now[3]]
+        before = now
 
 
 class Aligner:
-    """Parts of texts to (ids of A, ids of B, groups, their text, links' pairs), or None where the bytes differ."""
+    """Parts of texts to (numbers of A's and B's tokens and of groups, the groups' text, links' pairs), or None where the bytes differ."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,14 +119,7 @@ class Aligner:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_length, self.b_length = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
         self.known: dict[str, tuple | None] = {}
-
-    def _one(self, part: str) -> tuple | None:
-        a, b = self.a.encode(part, add_special_tokens=False).ids, self.b.encode(part[1:])
-        spelt = part.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != spelt or b"".join(map(self.b_bytes.__getitem__, b)) != spelt:
-            return None
-        text, n, keys = aligned(a, self.a_length[a].cumsum().tolist(), b, self.b_length[b].cumsum().tolist())
-        return len(a), len(b), n, text, keys
+        self.older: dict[str, tuple | None] = {}
 
     def _several(self, parts: list[str]) -> Iterator[tuple | None]:
         """Parts that end in something else than white space are, one after the other, a text's parts again: the libraries are called once for all."""
@@ -139,31 +127,31 @@ class Aligner:
         spelt = joined.encode()
         a, b = self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.b.encode(joined[1:])
         if b"".join(map(self.a_bytes.__getitem__, a)) != spelt or b"".join(map(self.b_bytes.__getitem__, b)) != spelt:
-            yield from map(self._one, parts)
+            if len(parts) == 1:
+                yield None
+            else:
+                for p in parts:
+                    yield from self._several([p])
             return
-        a_ends, b_ends = self.a_length[a].cumsum(), self.b_length[b].cumsum()
-        ends = np.cumsum([len(p.encode()) for p in parts])
-        i, j = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1
-        if (a_ends[i - 1] != ends).any() or (b_ends[j - 1] != ends).any():
-            raise ValueError("a token spans two parts of a text")
-        i0 = j0 = 0
-        a_ends, b_ends = a_ends.tolist(), b_ends.tolist()
-        for i1, j1 in zip(i.tolist(), j.tolist(), strict=True):
-            text, n, keys = aligned(a[i0:i1], a_ends[i0:i1], b[j0:j1], b_ends[j0:j1])
-            yield i1 - i0, j1 - j0, n, text, keys
-            i0, j0 = i1, j1
-
-    def learn(self, parts: list[str]) -> dict[str, tuple | None]:
-        """What is known of the parts; short ones are remembered."""
-        missing = [p for p in parts if p not in self.known]
-        short = [p for p in missing if len(p) <= LONGEST and not p[-1].isspace()]
-        found = {p: self._one(p) for p in missing if len(p) > LONGEST or p[-1].isspace()}
-        for at in range(0, len(short), 2000):
-            found |= zip(short[at : at + 2000], self._several(short[at : at + 2000]), strict=True)
-        out = {p: self.known[p] if p in self.known else found[p] for p in parts}
-        if len(self.known) > REMEMBERED:
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-        self.known |= {p: found[p] for p in short}
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends = np.cumsum([len(p) for p in parts] if joined.isascii() else [len(p.encode()) for p in parts])
+        yield from aligned(a, self.a_length[a].cumsum(), b, self.b_length[b].cumsum(), ends)
+
+    def learn(self, parts: list[str]) -> list[tuple | None]:
+        """What is known of the parts. Short ones are remembered: those that were asked for since REMEMBERED others were, at least."""
+        known, older, missing, alone = self.known, self.older, [], []
+        for p in parts:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    (alone if len(p) > LONGEST or p[-1].isspace() else missing).append(p)
+        for at in range(0, len(missing), 2000):
+            known |= zip(missing[at : at + 2000], self._several(missing[at : at + 2000]), strict=True)
+        found = {p: next(self._several([p])) for p in alone}
+        out = [known[p] if p in known else found[p] for p in parts]
+        if len(known) > REMEMBERED:
+            self.known, self.older = {}, known
         return out
 
 
@@ -206,47 +194,54 @@ class Block:
     def __init__(self, aligner: Aligner) -> None:
         self.aligner, self.name, self.bytes = aligner, uuid.uuid4().hex, 0
         self.numbers: dict[str, int] = {}
-        self.found: list[tuple] = []
-        self.times: list[int] = []
-        self.rows: list[list] = [[] for _ in range(8)]
+        self.sizes: list[tuple[int, int, int]] = []
+        self.texts: list[str] = []
+        self.links: list[list[int]] = []
+        self.ids: list[int | None] = []
+        self.digests: list[str] = []
+        self.used: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
 
     def add(self, doc_id: int | None, text: str | None) -> None:
-        row, digest, seen = [0, 0, 0, 0], hashlib.sha256(), []
+        digest, seen = hashlib.sha256(), []
         for some in parts_of(text) if text else ():
             self.bytes += sum(map(len, some))
-            fresh = [p for p in dict.fromkeys(some) if p not in self.numbers]
-            for p, x in self.aligner.learn(fresh).items():
-                self.numbers[p] = len(self.found) if x else -1
+            numbers = self.numbers
+            fresh = [p for p in dict.fromkeys(some) if p not in numbers]
+            for p, x in zip(fresh, self.aligner.learn(fresh), strict=True):
+                numbers[p] = len(self.texts) if x else -1
                 if x:
-                    self.found.append(x)
-                    self.times.append(0)
-            at = list(map(self.numbers.__getitem__, some))
+                    self.sizes.append(x[:3])
+                    self.texts.append(x[3])
+                    self.links.append(x[4])
+            at = list(map(numbers.__getitem__, some))
             if min(at) < 0:
-                row, seen = [0, 0, 0, 0], []
+                seen = []
                 break
-            each = [self.found[k] for k in at]
-            n_a, n_b, n_groups, texts, links = zip(*each, strict=True)
-            row = [x + y for x, y in zip(row, (sum(n_a), sum(n_b), sum(n_groups), sum(map(len, links))), strict=True)]
-            digest.update((";" * bool(seen) + ";".join(texts)).encode())
+            digest.update((";" * bool(seen) + ";".join(map(self.texts.__getitem__, at))).encode())
             seen.append(np.array(at, np.int64))
         used, times = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for k, n in zip(used.tolist(), times.tolist(), strict=True):
-            self.times[k] += n
-        used[1:] -= used[:-1].copy()
-        for out, x in zip(self.rows, [doc_id, *row, digest.hexdigest() if seen else "", packed(used), packed(times)], strict=True):
+        for out, x in ((self.ids, doc_id), (self.digests, digest.hexdigest() if seen else ""), (self.used, used), (self.times, times)):
             out.append(x)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[t]) for n, t in (x.split() for x in BLOCKS.split(", "))])
-        n = len(self.rows[0])
-        # A part of a text that had to be given up stays known here, and no text has it
-        flat = np.fromiter(chain.from_iterable(x[4] for x in self.found), np.int64)
-        lengths = np.array([len(x[4]) for x in self.found], np.int64)
-        keys, places = np.unique(flat, return_inverse=True)
-        counts = np.bincount(places, np.repeat(np.array(self.times, np.int64), lengths), len(keys)).astype(np.int64)
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+        schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in BLOCKS.split(", "))])
+        # What each part has, and from it each text
+        lengths = np.fromiter(map(len, self.links), np.int64, len(self.links))
+        each = np.concatenate([np.array(self.sizes, np.int64).reshape(-1, 3), lengths[:, None]], 1)
+        of_row = np.array([(each[u] * n[:, None]).sum(0) for u, n in zip(self.used, self.times, strict=True)], np.int64).reshape(-1, 4)
+        keys, places = np.unique(np.fromiter(chain.from_iterable(self.links), np.int64), return_inverse=True)
+        # A part of a text that was given up stays known here, and no text has it
+        times = np.zeros(len(self.links), np.int64)
+        for u, n in zip(self.used, self.times, strict=True):
+            times[u] += n
+        counts = np.bincount(places, np.repeat(times, lengths), len(keys)).astype(np.int64)
+        n = len(self.ids)
         for a in range(0, n, 500):
-            m = len(self.rows[0][a : a + 500])
-            yield pa.record_batch([pa.array([self.name] * m), *[pa.array(x[a : a + 500], schema.field(1 + k).type) for k, x in enumerate(self.rows)], *[pa.nulls(m, schema.field(k).type) for k in range(9, 13)]], schema=schema)
+            b = min(n, a + 500)
+            own = [pa.array([self.name] * (b - a)), pa.array(self.ids[a:b], pa.int64()), *[pa.array(x) for x in of_row[a:b].T], pa.array(self.digests[a:b]), pa.array([packed(np.diff(u, prepend=0)) for u in self.used[a:b]], pa.binary()), pa.array([packed(x) for x in self.times[a:b]], pa.binary())]
+            yield pa.record_batch([*own, *[pa.nulls(b - a, schema.field(k).type) for k in range(9, 13)]], schema=schema)
         own = [[keys.tolist()], [counts.tolist()], [packed(lengths)], [packed(places)]]
         yield pa.record_batch([pa.array([self.name]), *[pa.nulls(1, schema.field(k).type) for k in range(1, 9)], *[pa.array(x, schema.field(9 + k).type) for k, x in enumerate(own)]], schema=schema)
 
@@ -261,7 +256,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, size: int = BLOCK_BYTES) -
                 if block.bytes >= size:
                     yield from block.batches()
                     block = Block(aligner)
-        if block.rows[0]:
+        if block.ids:
             yield from block.batches()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), BLOCKS)

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -106,7 +107,14 @@ def test_parts_over_several_reads_are_those_of_the_whole_text(monkeypatch):
 
 
 def test_groups_are_components_of_the_overlap_graph():
-    text, n, keys = L.aligned([5, 6, 7], [2, 3, 6], [8, 9, 10], [1, 3, 6])
-    assert (text, n) == ("5,6|8,9;7|10", 2)
-    assert [(k >> 32, k & 2**32 - 1) for k in keys] == [(5, 8), (5, 9), (6, 9), (7, 10)]
-    assert L.aligned([1], [4], [2, 3, 4], [1, 2, 4])[0] == "1|2,3,4"
+    n = lambda *x: np.array(x, np.int64)
+    (first, second) = L.aligned(n(5, 6, 7, 1), n(2, 3, 6, 10), n(8, 9, 10, 2, 3, 4), n(1, 3, 6, 7, 8, 10), n(6, 10))
+    assert first[:4] == (3, 3, 2, "5,6|8,9;7|10") and [(k >> 32, k & 2**32 - 1) for k in first[4]] == [(5, 8), (5, 9), (6, 9), (7, 10)]
+    assert second[:4] == (1, 3, 1, "1|2,3,4")
+    edges = np.random.default_rng(1).integers(0, 200, (2, 150))
+    root = L.united(200, *edges)
+    plain = list(range(200))
+    for i, j in edges.T.tolist():
+        low, high = sorted((plain[i], plain[j]))
+        plain = [low if x == high else x for x in plain]
+    assert root.tolist() == plain
