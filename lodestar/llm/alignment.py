@@ -20,6 +20,7 @@ An empty table gives no rows; other columns may have any name. Many, very long o
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import documents, released, stored
 
-#: Bytes of text of a block; distinct parts that a worker remembers, and their longest; parts of a text that are held at once.
-BLOCK_BYTES, REMEMBERED, LONGEST, AT_ONCE = 6_000_000, 150_000, 80, 100_000
+#: Bytes of text of a block; distinct parts that a worker remembers, and their longest; parts of a text (or characters of a short one) that are taken at once.
+BLOCK_BYTES, REMEMBERED, LONGEST, AT_ONCE = 6_000_000, 200_000, 80, 100_000
 #: A pair of ids is one number, A's before B's.
 B_BITS = 32
 
@@ -162,20 +163,39 @@ def aligner_of(a_path: str, b_path: str) -> Aligner:
 
 
 def parts_of(text: str) -> Iterator[list[str]]:
-    """The parts of a space and a text, at most AT_ONCE together; a lone space at the end belongs to the part before."""
-    found, held = PART.finditer(" " + text), None
+    """The parts of a space and a text, about AT_ONCE together; a lone space at the end belongs to the part before."""
+    text = " " + text
+    if len(text) <= AT_ONCE:
+        some = PART.findall(text)[:-1]  # the match at the end is empty
+        if len(some) > 1 and some[-1] == " ":
+            some[-2:] = [some[-2] + " "]
+        yield some
+        return
+    found, kept = PART.finditer(text), None
     while some := [m[0] for m in islice(found, AT_ONCE)]:
-        some = [x for x in some if x]  # the match at the end is empty
-        if held is not None:
-            some.insert(0, held)
+        some = [x for x in some if x]
+        if kept is not None:
+            some.insert(0, kept)
         if some:
-            held = some.pop()
-            if held == " " and some:
-                held = some.pop() + held
+            kept = some.pop()
+            if kept == " " and some:
+                kept = some.pop() + kept
         if some:
             yield some
-    if held is not None:
-        yield [held]
+    if kept is not None:
+        yield [kept]
+
+
+class Numbers(dict):
+    """Distinct parts by number; new has those that came since it was cleared."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.new.append(part)
+        return n
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -193,7 +213,7 @@ class Block:
 
     def __init__(self, aligner: Aligner) -> None:
         self.aligner, self.name, self.bytes = aligner, uuid.uuid4().hex, 0
-        self.numbers: dict[str, int] = {}
+        self.numbers, self.wrong = Numbers(), set()
         self.sizes: list[tuple[int, int, int]] = []
         self.texts: list[str] = []
         self.links: list[list[int]] = []
@@ -206,16 +226,18 @@ class Block:
         digest, seen = hashlib.sha256(), []
         for some in parts_of(text) if text else ():
             self.bytes += sum(map(len, some))
-            numbers = self.numbers
-            fresh = [p for p in dict.fromkeys(some) if p not in numbers]
-            for p, x in zip(fresh, self.aligner.learn(fresh), strict=True):
-                numbers[p] = len(self.texts) if x else -1
-                if x:
-                    self.sizes.append(x[:3])
-                    self.texts.append(x[3])
-                    self.links.append(x[4])
-            at = list(map(numbers.__getitem__, some))
-            if min(at) < 0:
+            at = list(map(self.numbers.__getitem__, some))
+            if new := self.numbers.new:
+                first = len(self.texts)
+                for k, x in enumerate(self.aligner.learn(new), first):
+                    if x is None:
+                        self.wrong.add(k)
+                    sizes, groups, links = (x[:3], x[3], x[4]) if x else ((0, 0, 0), "", [])
+                    self.sizes.append(sizes)
+                    self.texts.append(groups)
+                    self.links.append(links)
+                new.clear()
+            if self.wrong and not self.wrong.isdisjoint(at):
                 seen = []
                 break
             digest.update((";" * bool(seen) + ";".join(map(self.texts.__getitem__, at))).encode())
@@ -250,6 +272,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, size: int = BLOCK_BYTES) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(a_path, b_path)
         block = Block(aligner)
+        gc.disable()  # else it goes through all that is remembered again and again; nothing here has cycles
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 block.add(doc_id.as_py(), text.as_py())
@@ -258,6 +281,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, size: int = BLOCK_BYTES) -
                     block = Block(aligner)
         if block.ids:
             yield from block.batches()
+        gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), BLOCKS)
 
