@@ -15,12 +15,16 @@ symbol each.
    answer goes back to its block, where it meets the block's texts, compressed. Only the lower orders' tables of symbols, of a fixed size, are broadcast.
 3. Four characters can't show that a word follows itself. A text's echo is the share of its word pairs that also begin at one of
    the ECHOES words before, so texts that stutter or go round in a short circle have one near 1.
-4. A document is kept if its perplexity lies between two quantiles of that of the trusted texts of its language which were held
-   out from the counts (one in HELD, by doc_id), widened by SLACK since a quantile near the end is one of few texts', and its echo
-   isn't above the upper one of all trusted texts, widened too, or LEAST_ECHO if that is more; languages without trusted texts are
-   held to those of all.
+4. Rows fall into HELD parts by doc_id, and there are HELD models, each counted from the trusted texts of all parts but one. Every
+   document is scored once, by the model that hasn't seen its part. So trusted texts have the perplexities of texts that the
+   model doesn't know, as all others have, and one pair of bounds fits both.
+5. A document is kept if its perplexity lies between two quantiles of that of the trusted texts of its language: those counted, or
+   those of a log-normal distribution fitted to them where these lie further out, since few texts don't show a quantile of one in a
+   thousand. And its echo isn't above the upper one of theirs, widened by ECHO_SLACK since it is one of few texts', or LEAST_ECHO if that is more;
+   languages without trusted texts are held to those of all.
 
-Trusted are the rows that the labels give quality 1, all of them: four fifths are counted, one fifth sets the bounds.
+Trusted are the rows that the labels give quality 1, all of them. Parts are counted apart, and a model is the sum of all less one
+part, so no text is counted twice. Where one part has all trusted texts (a single one, say) the model of all scores it too.
 
 Defined results: a null text, an empty one and one of white space have no perplexity and aren't kept. Every row of the input
 gives one row; without trusted text nothing has a perplexity, and what has any text is kept. Words are runs of letters and
@@ -31,6 +35,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +49,9 @@ from lodestar.llm.common import bounded, crc32_bucket, documents, located, relea
 ORDER, ROWS, SHARDS = 4, 1024, 64
 #: Characters of a block's part, and blocks whose questions meet one copy of a shard of the counts.
 PART, BLOCKS = 8_000_000, 4096
-#: Trusted rows in HELD parts of which one is held out from the counts, for the quantiles of perplexity.
-HELD = 5
-LOW, HIGH, SLACK = 0.001, 0.999, 1.25
+#: Parts of the rows, each of which is scored by a model that is counted from the trusted rows of the others.
+HELD = 4
+LOW, HIGH, ECHO_SLACK = 0.001, 0.999, 1.25
 CODES, LOWER = 1 << 24, 1 << 18
 #: The first symbol that stands for many code points, and shards of n-grams of code points.
 MANY, SPELLED = 62, 512
@@ -191,20 +197,31 @@ class Model:
         self.counts, self.spellings, self.small = counts, spellings, (lower.astype(np.float32), total.astype(np.float64), weight.astype(np.float32), cut)
 
 
-def train(trusted: DataFrame) -> Model | None:
-    counts = stored(trusted.select("text").mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+def counted(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """gram and its count without each part (without: array of HELD and, last, the count of all); the same of key and context, for code points. trusted: part, text."""
+    by_part = lambda run, kinds: reduce(DataFrame.unionByName, [trusted.where(F.col("part") == f).select("text").mapInArrow(run, kinds).withColumn("part", F.lit(f)) for f in range(HELD)])
+    without = F.array(*[F.sum(F.when(F.col("part") != f, F.col("n")).otherwise(0)) for f in range(HELD)], F.sum("n")).alias("without")
+    grams = stored(by_part(_count, "gram int, n long").groupBy("gram").agg(without), "grams")
+    found = stored(by_part(_spell, "key long, context long, n long").groupBy("key", "context").agg(without), "spellings")
+    return grams, found
+
+
+def train(grams: DataFrame, found: DataFrame, part: int = HELD) -> Model | None:
+    """The model of all parts but one, or of all."""
+    n = F.col("without")[part].alias("n")
+    counts = grams.select("gram", n).where("n > 0")
     ones = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}  # four numbers
     cut = discounts(ones)
     d = F.when(F.col("n") == 1, float(cut[1])).when(F.col("n") == 2, float(cut[2])).otherwise(float(cut[3]))
     preceded, total, held = np.zeros(LOWER, np.int64), np.zeros(LOWER), np.zeros(LOWER)
-    for r in counts.groupBy((F.col("gram") % LOWER).alias("k")).agg(F.count("*").alias("c")).collect():  # at most 64^3 rows
-        preceded[r["k"]] = r["c"]
-    for r in counts.groupBy(F.shiftright("gram", 6).alias("k")).agg(F.sum("n").alias("n"), F.sum(d).alias("d")).collect():  # at most 64^3 rows
-        total[r["k"]], held[r["k"]] = r["n"], r["d"]
+    for key, own, outs in ((F.col("gram") % LOWER, [F.count("*")], [preceded]), (F.shiftright("gram", 6), [F.sum("n"), F.sum(d)], [total, held])):
+        sums = counts.groupBy(key.alias("k")).agg(*[x.alias(f"s{i}") for i, x in enumerate(own)]).toArrow()  # at most 64^3 rows
+        for i, out in enumerate(outs):
+            out[sums.column("k").to_numpy()] = sums.column(f"s{i}").to_numpy()
     if not preceded.any():
         return None
-    found = stored(trusted.select("text").mapInArrow(_spell, "key long, context long, n long").groupBy("key", "context").agg(F.sum("n").alias("n")), "spellings")
-    spellings = found.select("key", "n", F.lit(0).cast("long").alias("types")).union(found.groupBy("context").agg(F.sum("n"), F.count("*")))
+    some = found.select("key", "context", n).where("n > 0")
+    spellings = some.select("key", "n", F.lit(0).cast("long").alias("types")).union(some.groupBy("context").agg(F.sum("n"), F.count("*")))
     return Model(counts, lower_orders(preceded), total, np.divide(held, total, out=np.ones(LOWER), where=total > 0), cut, spellings)
 
 
@@ -328,7 +345,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
                 at += k
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(out, pa.float64()), pa.array(echoes, pa.float64())], ["file", "row", "perplexity", "echo"])
 
-    rows = docs.select(F.col("_file").alias("file"), F.floor(F.col("_row") / ROWS).cast("long").alias("block"), F.col("_row").alias("row"), "text")
+    rows = docs.select(F.col("_file").alias("file"), F.floor(F.col("_row") / (ROWS * HELD)).cast("long").alias("block"), F.col("_row").alias("row"), "text")
     # A shard of the counts meets the questions of BLOCKS blocks at a time, so a group stays bounded whatever the corpus holds
     slices = max(1, -(-docs.count() // (ROWS * BLOCKS)))
     asked = rows.mapInArrow(released(_ask), "file string, block long, part int, shard int, grams binary").withColumn("slice", F.pmod(F.xxhash64("file", "block"), F.lit(slices)).cast("int"))
@@ -342,22 +359,24 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
 
 def quality(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, low, high, echo, most_echo and kept for each row of docs. trusted_ids: distinct doc_ids of trusted text."""
-    rows = located(docs)
+    rows = located(docs).withColumn("_part", crc32_bucket("doc_id", HELD))
     trusted = rows.join(bounded(trusted_ids.select(F.col("doc_id").alias("_trusted"))), rows["doc_id"].cast("long") == F.col("_trusted"), "left_semi")
-    held = crc32_bucket("doc_id", HELD) == 0
-    model = train(trusted.where(~held)) or train(trusted)
+    grams, found = counted(trusted.select(F.col("_part").alias("part"), "text"))
+    whole = train(grams, found)
     slim = rows.select(F.col("_file").alias("file"), F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).rlike("\\S").alias("any_text"))
-    if model is None:
+    if whole is None:
         return slim.select("doc_id", "lang", *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "low", "high", "echo", "most_echo")], F.col("any_text").alias("kept"))
-    scored = stored(slim.join(perplexities(rows, model), ["file", "row"]), "scored")
+    each = [perplexities(rows.where(F.col("_part") == f), train(grams, found, f) or whole) for f in range(HELD)]
+    scored = stored(slim.join(reduce(DataFrame.unionByName, each), ["file", "row"]), "scored")
     base = scored.join(bounded(trusted_ids), "doc_id", "left_semi").where("perplexity is not null")
-    # Of the held-out rows, or of all where there are none
-    quantile = lambda q: F.coalesce(*[F.percentile_approx(x, q, 10_000) for x in (F.when(held, F.col("perplexity")), F.col("perplexity"))])
+    log = F.log("perplexity")
+    fitted = lambda q: F.exp(F.avg(log) + NormalDist().inv_cdf(q) * F.coalesce(F.stddev(log), F.lit(0.0)))
+    quantile = lambda q: (F.least if q < 0.5 else F.greatest)(F.percentile_approx("perplexity", q, 10_000), fitted(q))
     echoes = F.percentile_approx("echo", HIGH, 10_000)
     every = base.agg(quantile(LOW).alias("all_low"), quantile(HIGH).alias("all_high"), echoes.alias("all_echo"))
     own = base.where("lang is not null").groupBy("lang").agg(quantile(LOW).alias("own_low"), quantile(HIGH).alias("own_high"), echoes.alias("own_echo"))
     judged = scored.join(bounded(own), "lang", "left").join(F.broadcast(every))  # every is one row
-    judged = judged.withColumns({"low": F.coalesce("own_low", "all_low") / SLACK, "high": F.coalesce("own_high", "all_high") * SLACK, "most_echo": F.greatest(F.coalesce("own_echo", "all_echo") * SLACK, F.lit(LEAST_ECHO))})
+    judged = judged.withColumns({"low": F.coalesce("own_low", "all_low"), "high": F.coalesce("own_high", "all_high"), "most_echo": F.greatest(F.coalesce("own_echo", "all_echo") * ECHO_SLACK, F.lit(LEAST_ECHO))})
     kept = F.col("any_text") & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")) & (F.col("echo") <= F.col("most_echo")), F.lit(True))
     return judged.select("doc_id", "lang", "perplexity", "low", "high", "echo", "most_echo", kept.alias("kept"))
 
