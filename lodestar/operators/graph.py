@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.operators.joins import common_neighbours
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge in both directions, with what else it carries."""
@@ -70,16 +72,9 @@ def multihop(edges: DataFrame, nodes: DataFrame, term: str, when: Column | None
     return two.select("anchor_name", "rel1", "hop1_name", "rel2", "hop2_name").orderBy("anchor_name", "rel1", "hop1_name", F.asc_nulls_first("rel2"), F.asc_nulls_first("hop2_name")).limit(rows)
 
 
-def shared_neighbours(links: DataFrame, least: int = 2, n: int = 50, most: int | None = None) -> DataFrame:
-    """Pairs a < b of members with at least so many hubs in common. links: member, hub; hubs of more than most members are left out if most is given.
-
-    Members of a hub are paired, which costs the square of its size: give most where hubs can be large.
-    """
-    own = links.select("member", "hub").distinct()
-    if most is not None:
-        own = own.join(own.groupBy("hub").count().where(F.col("count") <= most).select("hub"), "hub", "left_semi")
-    pairs = own.select("hub", F.col("member").alias("a")).join(own.select("hub", F.col("member").alias("b")), "hub").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least).orderBy(F.desc("common"), "a", "b").limit(n)
+def shared_neighbours(links: DataFrame, least: int = 2, n: int | None = 50) -> DataFrame:
+    """Pairs a < b of members with at least so many hubs in common, the n with most. links: member, hub."""
+    return common_neighbours(links, least, n)
 
 
 def shared_hubs(links: DataFrame, least: int = 2, shown: int = 5) -> DataFrame:

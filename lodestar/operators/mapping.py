@@ -43,6 +43,32 @@ def composite_keys(catalog: DataFrame) -> DataFrame:
     return catalog.where("is_fk and fk_table is not null").groupBy("table", "fk_table").agg(F.array_join(F.array_sort(F.collect_list("column")), ",").alias("columns"))
 
 
+def inferred_catalog(tables: dict[str, DataFrame], ending: str = "key") -> DataFrame:
+    """A catalogue (table, column, data_type, is_pk, is_fk, fk_table) of tables that declare no keys, from their schemas and values.
+
+    A column is a key if it is first of its table's columns with the ending, has no nulls and no value twice. It refers to another
+    table's key of the same name (prefixes such as o_ aside) if all its values stand there. One pass over each table counts;
+    an anti join for each pair of columns that may refer checks the values.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    bare = lambda c: re.sub(r"^[a-z]+_", "", c)
+    keys: dict[str, tuple[str, str]] = {}
+    for name, df in tables.items():
+        first = next((c for c in df.columns if c.endswith(ending)), None)
+        if first:
+            n = df.agg(F.count("*").alias("n"), F.count(first).alias("some"), F.count_distinct(first).alias("distinct")).first()
+            if n["n"] == n["some"] == n["distinct"]:
+                keys[bare(first)] = (name, first)
+    rows = []
+    for name, df in tables.items():
+        for f in df.schema.fields:
+            owner, column = keys.get(bare(f.name), (None, None))
+            own = owner == name and column == f.name
+            refers = owner is not None and not own and df.where(F.col(f.name).isNotNull()).join(tables[owner].select(F.col(column).alias("_key")), F.col(f.name) == F.col("_key"), "left_anti").isEmpty()
+            rows.append((name, f.name, f.dataType.simpleString(), own, refers, owner if refers else None))
+    return spark.createDataFrame(rows, "table string, column string, data_type string, is_pk boolean, is_fk boolean, fk_table string")
+
+
 def mapping_rules(catalog: DataFrame) -> DataFrame:
     """table, kind, label and, for each foreign key, its type and target."""
     from lodestar.functions.columns import pascal_case

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.functions.columns import canonical_name, cosine_score, edit_similarity, fingerprint, jaccard, normalise_name, property_hash
+from lodestar.functions.columns import canonical_name, cosine_score, fingerprint, jaccard, normalise_name, property_hash
 from lodestar.functions.similarity import jaro_winkler_udf, sequence_ratio_udf
+from lodestar.operators.joins import edit_pairs
+from lodestar.operators.traverse import held, scratch
+from lodestar.operators.vectors import knn
 
 #: Weights of the four signals, the decision bands, and pairs of types that count half.
 SIGNALS = {"embedding": 0.4, "name": 0.3, "type": 0.2, "context": 0.1}
@@ -46,18 +48,120 @@ def consolidate(nodes: DataFrame, losers: DataFrame) -> DataFrame:
 
 
 def merge_pairs(pairs: DataFrame) -> DataFrame:
-    """Greedy merging of scored pairs (graph_id, keeper, loser, score): best first, none that touches a merged-away id. A graph's pairs meet in one task."""
+    """Greedy merging of scored pairs (graph_id, keeper, loser, score): best first, ties by keeper and loser, none that touches a merged-away id.
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        gone: set[str] = set()
-        taken = []
-        for r in df.sort_values(["score", "keeper", "loser"], ascending=[False, True, True]).itertuples(index=False):
-            if r.keeper not in gone and r.loser not in gone:
-                gone.add(r.loser)
-                taken.append((r.graph_id, r.loser, r.keeper, r.score))
-        return pd.DataFrame(taken, columns=["graph_id", "loser", "keeper", "score"])
-
-    return pairs.groupBy("graph_id").applyInPandas(one, "graph_id string, loser string, keeper string, score double")
+    In rounds over all graphs at once. A pair is decided when no better pair that is still open could merge one of its two away, that
+    is, has one of them as its loser; all such pairs are taken together, and open pairs worse than the one that merged an id
+    away go. The best open pair is always decided, so rounds end; they are as many as the longest chain of losers that keep.
+    """
+    order = F.struct((-F.col("score")).alias("below"), F.col("keeper").alias("k"), F.col("loser").alias("l"))
+    left = held(pairs.select("graph_id", "keeper", "loser", "score").distinct().withColumn("order", order))
+    folder, taken = scratch(pairs.sparkSession, "merged"), None
+    while not left.isEmpty():
+        first = left.groupBy("graph_id", F.col("loser").alias("id")).agg(F.min("order").alias("first"))
+        at = lambda c: first.select("graph_id", F.col("id").alias(c), F.col("first").alias(f"{c}_first"))
+        sure = left.join(at("loser"), ["graph_id", "loser"]).where("order = loser_first").join(at("keeper"), ["graph_id", "keeper"], "left").where("keeper_first is null or order < keeper_first")
+        new = held(sure.select("graph_id", "loser", "keeper", "score", "order"))
+        taken = held(new.select("graph_id", "loser", "keeper", "score"), folder)
+        gone = lambda c: new.select("graph_id", F.col("loser").alias(c), F.col("order").alias(f"{c}_gone"))
+        rest = left.join(gone("loser"), ["graph_id", "loser"], "left").join(gone("keeper"), ["graph_id", "keeper"], "left")
+        left = held(rest.where("(loser_gone is null or order < loser_gone) and (keeper_gone is null or order < keeper_gone)").select("graph_id", "keeper", "loser", "score", "order"))
+    return taken if taken is not None else left.select("graph_id", "loser", "keeper", "score")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id and root, the smallest id that can be reached over links (a, b), of each id that any link has. Alternates large and small stars, over whole tables."""
+    edges = held(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        new = held(small)
+        # Done when all are stars: nothing has two parents, no parent has one
+        if new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+            break
+        edges = new
+    return new.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(new.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+#: The passes of deduplication, relationships that aren't consolidated, and what an embedding pass asks for.
+PASSES = ("canonical", "merge_canonical", "embedding", "relationships")
+STRUCTURAL = ("SIMILAR_TO", "IN_COMMUNITY", "FROM_CHUNK", "PARENT_COMMUNITY", "IN_CHUNK_COMMUNITY", "NEXT_CHUNK", "FROM_DOCUMENT")
+NEAR_ENTITIES, NEAR_SCORE = 6, 0.92
+
+
+def final_keepers(merges: DataFrame) -> DataFrame:
+    """loser and keeper, where keepers that were merged away themselves give way to theirs. merges: loser, keeper, each loser once."""
+    now = held(merges.select("loser", "keeper"))
+    while True:
+        onward = now.select(F.col("loser").alias("keeper"), F.col("keeper").alias("next"))
+        new = held(now.join(onward, "keeper", "left").select("loser", F.coalesce("next", "keeper").alias("keeper"), F.col("next").isNotNull().alias("moved")))
+        now = new.select("loser", "keeper")
+        if new.where("moved").isEmpty():
+            return now
+
+
+def deduplicate(nodes: DataFrame, edges: DataFrame, passes: tuple[str, ...] = PASSES, least: float = NEAR_SCORE, dry_run: bool = False, structural: tuple[str, ...] = STRUCTURAL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and a report (graph_id, passes' counts) after the passes, in order; a dry run leaves both as they are and reports what would happen.
+
+    nodes: graph_id, id, name, embedding, aliases and canonical_name (null where it isn't known). edges: graph_id, edge_id, src, dst, type, count.
+    canonical names nodes that lack a canonical name; merge_canonical merges nodes of one such name into the smallest id; embedding
+    merges pairs among each node's NEAR_ENTITIES nearest vectors with a score of at least least and other canonical names, greedily;
+    relationships makes parallel edges one, with their count, but for the structural types. In a dry run a pass sees the table as it
+    was, so its merges rest on names that aren't stored yet, and embedding still meets nodes that merge_canonical would have merged.
+    """
+    start, counts = (nodes, edges), []
+    counted = lambda df, name: counts.append(df.groupBy("graph_id").agg(F.count("*").alias(name)))
+    if "canonical" in passes:
+        named = canonical_name(F.col("name"))
+        missing = nodes.where("canonical_name is null").withColumn("made", F.when(named != "", named))
+        counted(missing.where("made is not null"), "canonical_names_added")
+        counted(missing.where("made is null"), "skipped_bad_names")
+        if not dry_run:
+            nodes = held(nodes.withColumn("canonical_name", F.coalesce("canonical_name", F.when(named != "", named))))
+    if "merge_canonical" in passes:
+        keep = nodes.where("canonical_name is not null").groupBy("graph_id", "canonical_name").agg(F.min("id").alias("keeper"))
+        losers = held(nodes.join(keep, ["graph_id", "canonical_name"]).where("id <> keeper").select("graph_id", F.col("id").alias("loser"), "keeper"))
+        counted(losers, "canonical_merges")
+        if not dry_run:
+            nodes, edges = merged(nodes, edges, losers)
+    if "embedding" in passes:
+        own = nodes.where("embedding is not null").select("graph_id", "id", "embedding")
+        near = knn(own, own, NEAR_ENTITIES - 1, ["graph_id"], same=True).where((F.col("score") >= least) & (F.col("a") < F.col("b")))
+        name = lambda c: nodes.select(F.col("id").alias(c), F.col("canonical_name").alias(f"{c}_name"), *(["graph_id"] if c == "a" else []))
+        pairs = near.join(name("a"), "a").join(name("b"), "b").where("a_name is null or b_name is null or a_name <> b_name")
+        losers = merge_pairs(pairs.select("graph_id", F.col("a").alias("keeper"), F.col("b").alias("loser"), "score"))
+        counted(losers, "embedding_merges")
+        if not dry_run:
+            nodes, edges = merged(nodes, edges, losers.select("graph_id", "loser", "keeper"))
+    if "relationships" in passes:
+        several = edges.where(~F.col("type").isin(*structural)).groupBy("graph_id", "src", "dst", "type").agg(F.count("*").alias("n")).where("n > 1")
+        counts.append(several.groupBy("graph_id").agg(F.sum(F.col("n") - 1).alias("relationship_consolidations")))
+        if not dry_run:
+            edges = held(dedup_edges(edges, structural))
+    report = nodes.groupBy("graph_id").agg(F.count("*").alias("entities_processed"))
+    report = report.join(edges.groupBy("graph_id").agg(F.count("*").alias("relationships_processed")), "graph_id", "full")
+    for one in counts:
+        report = report.join(one, "graph_id", "left")
+    report = report.na.fill(0)
+    return (*start, report) if dry_run else (nodes, edges, report)
+
+
+def merged(nodes: DataFrame, edges: DataFrame, losers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes without the losers (graph_id, loser, keeper), whose names and aliases their last keeper gains, and edges that end at keepers; loops that this makes go."""
+    final = final_keepers(losers)
+    names = F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.when(F.col("name").isNotNull(), F.array("name")).otherwise(F.array().cast("array<string>")))
+    gained = final.join(nodes.select(F.col("id").alias("loser"), F.explode(names).alias("alias")), "loser").groupBy(F.col("keeper").alias("id")).agg(F.collect_set("alias").alias("gained"))
+    kept = nodes.join(final.select(F.col("loser").alias("id")), "id", "left_anti").join(gained, "id", "left")
+    aliases = F.array_sort(F.array_remove(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("gained", F.array().cast("array<string>"))), F.coalesce("name", F.lit(""))))
+    end = lambda c: final.select(F.col("loser").alias(c), F.col("keeper").alias(f"{c}_keeper"))
+    moved = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    was_loop = F.col("src") == F.col("dst")
+    moved = moved.withColumns({"src_new": F.coalesce("src_keeper", "src"), "dst_new": F.coalesce("dst_keeper", "dst")}).where(was_loop | (F.col("src_new") != F.col("dst_new")))
+    moved = moved.withColumns({"src": F.col("src_new"), "dst": F.col("dst_new")}).select(*edges.columns)
+    return held(kept.withColumn("aliases", aliases).select(*nodes.columns)), held(moved)
 
 
 def dedup_edges(edges: DataFrame, parallel: tuple[str, ...] = ()) -> DataFrame:
@@ -69,15 +173,9 @@ def dedup_edges(edges: DataFrame, parallel: tuple[str, ...] = ()) -> DataFrame:
     return merged.unionByName(free.select(*merged.columns))
 
 
-def fuzzy_pairs(nodes: DataFrame, least: float = 0.8, prefix: int = 3, gap: int | None = None) -> DataFrame:
-    """Pairs a < b whose names contain each other or have an edit similarity above least, among names with the same first letters (the block)."""
-    own = nodes.select("id", F.lower("name").alias("name"), F.substring(F.lower("name"), 1, prefix).alias("block"))
-    a, b = own.withColumnsRenamed({"id": "a", "name": "a_name"}), own.withColumnsRenamed({"id": "b", "name": "b_name"})
-    sim = edit_similarity(F.col("a_name"), F.col("b_name"))
-    near = a.join(b, "block").where("a < b")
-    if gap is not None:
-        near = near.where(F.abs(F.length("a_name") - F.length("b_name")) <= gap)
-    return near.withColumn("similarity", F.round(sim, 6)).where((F.col("similarity") > least) | F.col("a_name").contains(F.col("b_name")) | F.col("b_name").contains(F.col("a_name"))).select("a", "b", "similarity")
+def fuzzy_pairs(nodes: DataFrame, least: float = 0.8, gap: int | None = None) -> DataFrame:
+    """Pairs a < b of nodes whose names contain each other or have an edit similarity above least; none is lost."""
+    return edit_pairs(nodes, least, gap)
 
 
 def same_name_pairs(mentions: DataFrame, linked: DataFrame | None = None) -> DataFrame:
@@ -101,18 +199,9 @@ def same_as_scores(pairs: DataFrame) -> DataFrame:
 
 
 def similar_edges(vectors: DataFrame, k: int, least: float, block: list[str] | None = None) -> DataFrame:
-    """SIMILAR_TO pairs a < b among each vector's k nearest others: vectors has id, embedding and the columns of block, within which pairs are made.
-
-    Each block's vectors meet each other, which costs the square of its size: block by tenant, label or a hash of the vector.
-    """
-    by = block or []
-    if not by:
-        raise ValueError("similar_edges needs columns to block by; retrieval.ann_index gives buckets where there are none")
-    own = vectors.select("id", "embedding", *by)
-    a, b = own.withColumnsRenamed({"id": "a", "embedding": "va"}), own.withColumnsRenamed({"id": "b", "embedding": "vb"})
-    pairs = a.join(b, by)
-    near = pairs.where("a <> b").select("a", "b", cosine_score(F.col("va"), F.col("vb")).alias("score"))
-    top = near.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))).where((F.col("k") <= k) & (F.col("score") >= least))
+    """SIMILAR_TO pairs a < b among each vector's k nearest others: vectors has id, embedding and the columns of block, within which pairs are made."""
+    own = vectors.select("id", "embedding", *(block or []))
+    top = knn(own, own, k, block, same=True).where(F.col("score") >= least)
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
@@ -125,8 +214,9 @@ def same_as_links(nodes: DataFrame, others: DataFrame, least: float = STORE, nea
     a = nodes.select(F.col("id").alias("a"), "name", "type", "bucket", "embedding").withColumn("key", F.lower(F.trim("name")))
     b = others.select(F.col("id").alias("b"), F.col("name").alias("b_name"), F.col("type").alias("b_type"), "bucket", F.col("embedding").alias("vb")).withColumn("key", F.lower(F.trim("b_name")))
     exact = a.select("a", "key").join(b.select("b", "key"), "key").select("a", "b", F.lit(0.99).alias("confidence"), F.lit("exact").alias("path"))
-    rest = a.join(exact.select("a"), "a", "left_anti").drop("key").join(b.drop("key"), "bucket").withColumn("v", cosine_score(F.col("embedding"), F.col("vb")))
-    top = rest.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy(F.desc("v"), "b"))).where(F.col("k") <= near)
+    rest = a.join(exact.select("a"), "a", "left_anti").select("a", "name", "type", "bucket", "embedding")
+    close = knn(rest.select(F.col("a").alias("id"), "bucket", "embedding"), b.select(F.col("b").alias("id"), "bucket", F.col("vb").alias("embedding")), near, ["bucket"]).withColumnRenamed("score", "v")
+    top = close.join(rest.select("a", "name", "type"), "a").join(b.select("b", "b_name", "b_type"), "b")
     name = jaro_winkler_udf(normalise_name(F.col("name")), normalise_name(F.col("b_name")))
     score = (F.col("v") * SIGNALS["embedding"] + name * SIGNALS["name"] + type_score(F.col("type"), F.col("b_type")) * SIGNALS["type"]) / (1 - SIGNALS["context"])
     scored = top.select("a", "b", score.alias("confidence"), F.lit("vector").alias("path"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,29 +67,6 @@ def scaled(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(ends)).withColumn("score", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0))).drop("lo", "hi")  # ends is one row
 
 
-def hyperplanes(size: int, bits: int, tables: int, seed: int = 17) -> list[list[list[float]]]:
-    rng = np.random.default_rng(seed)
-    return rng.standard_normal((tables, bits, size)).round(4).tolist()
-
-
-def ann_index(vectors: DataFrame, size: int, bits: int = 6, tables: int = 4, key: str = "id") -> DataFrame:
-    """key, table, bucket, embedding: each vector in one bucket of every table, by the signs of its products with random planes."""
-    dot = lambda plane: F.aggregate(F.zip_with("embedding", F.array(*[F.lit(x) for x in plane]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    bucket = [sum((F.when(dot(p) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes)), F.lit(0)) for planes in hyperplanes(size, bits, tables)]
-    at = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), b.alias("bucket")) for t, b in enumerate(bucket)])).alias("at")
-    return vectors.where("embedding is not null").select(key, "embedding", at).select(key, "at.table", "at.bucket", "embedding")
-
-
-def ann_topk(index: DataFrame, query: list[float], bits: int = 6, tables: int = 4, key: str = "id", n: int = 10, least: float | None = None) -> DataFrame:
-    """key and score of the nearest vectors among the query's buckets and those one sign away: a filter on (table, bucket), then exact scores."""
-    wanted = []
-    for t, planes in enumerate(hyperplanes(len(query), bits, tables)):
-        own = sum(1 << i for i, p in enumerate(planes) if float(np.dot(p, query)) >= 0)
-        wanted += [(F.col("table") == t) & F.col("bucket").isin([own, *[own ^ 1 << i for i in range(bits)]])]
-    near = index.where(reduce(lambda a, b: a | b, wanted)).dropDuplicates([key])
-    return vector_topk(near, query, key, n, least)
-
-
 def capped_sources(strategies: list[tuple[str, DataFrame, int]], key: str = "chunk_id") -> DataFrame:
     """Sources of several strategies one after the other, each with its own cap, a source that an earlier one has left out: strategy, key, score."""
     parts = []

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.joins import overlaps
+
 
 def valid_at(t: Column, end_inclusive: bool = False) -> Column:
     end = F.col("valid_to") >= t if end_inclusive else F.col("valid_to") > t
@@ -52,9 +54,7 @@ def edges_at(edges: DataFrame, t: Column, limit: int = 2000) -> DataFrame:
 
 def contradictions(facts: DataFrame) -> DataFrame:
     """Pairs of facts (edge_id) with the same ends and type whose intervals overlap."""
-    own = facts.select("edge_id", "src", "dst", "type", F.coalesce("valid_from", F.lit("0001-01-01").cast("timestamp")).alias("f"), F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp")).alias("t"))
-    a, b = own.withColumnsRenamed({"edge_id": "a", "f": "f1", "t": "t1"}), own.withColumnsRenamed({"edge_id": "b", "f": "f2", "t": "t2"})
-    return a.join(b, ["src", "dst", "type"]).where("a < b and f1 < t2 and f2 < t1").select("src", "dst", "type", "a", "b")
+    return overlaps(facts, ["src", "dst", "type"])
 
 
 def backfill(rows: DataFrame, now: Column) -> DataFrame:

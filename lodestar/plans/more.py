@@ -9,7 +9,8 @@ from lodestar import model
 from lodestar.functions import columns as C
 from lodestar.model import table
 from lodestar.operators import access, code, graph, mapping, memory, resolve, retrieval, sinks, temporal
-from lodestar.plans.queries import CE, E, NOW, OV, T1, T2, at, code_edges, query, query_vector, vectors, versioned_orders
+from lodestar.operators.vectors import build, probe
+from lodestar.plans.queries import CATALOG, CE, E, NOW, OV, SQL, T1, T2, at, code_edges, query, query_vector, star_catalog, vectors, versioned_orders
 from lodestar.sources import connectors, files
 from lodestar.streaming import feeds
 
@@ -199,12 +200,17 @@ def cube_counts(spark, sf):
     return access.cube_counts(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")), ["status", "priority"])
 
 
-@query("""SELECT * FROM (VALUES ('line', 'line_part', true, true), ('line', 'line_qty', false, false), ('part', 'part_id', true, false)) t("table", "column", is_pk, is_fk)""")
+KEYED = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey")]
+
+
+@query(f"""WITH {CATALOG}, pk AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c FROM {t} HAVING count(*) = count(DISTINCT {c})" for t, c in KEYED)}),
+col AS (SELECT DISTINCT table_name AS t, column_name AS c FROM duckdb_columns() WHERE schema_name = 'main' AND table_name IN ({", ".join(f"'{t}'" for t, _ in KEYED)}))
+SELECT t AS "table", c AS "column", (t, c) IN (SELECT (t, c) FROM pk) AS is_pk, (t, c) IN (SELECT (t, c) FROM fk) AS is_fk FROM col""")
 def catalog_join(spark, sf):
-    columns = spark.createDataFrame([("line", "line_part", "int"), ("line", "line_qty", "int"), ("part", "part_id", "int")], "table string, column string, data_type string")
-    keys = spark.createDataFrame([("line", "line_part"), ("part", "part_id")], "table string, column string")
-    foreign = spark.createDataFrame([("line", "line_part", "part", "part_id")], "table string, column string, fk_table string, fk_column string")
-    return connectors.catalog_from(columns, keys, foreign).select("table", "column", "is_pk", "is_fk")
+    """Columns of the tables, joined to the keys and references that their values show."""
+    found = star_catalog(spark, sf)
+    keys, foreign = found.where("is_pk").select("table", "column"), found.where("is_fk").select("table", "column", "fk_table", F.lit(None).cast("string").alias("fk_column"))
+    return connectors.catalog_from(found.select("table", "column", "data_type"), keys, foreign).select("table", "column", "is_pk", "is_fk")
 
 
 @query("""SELECT 't' || o_custkey AS "table", 'f' || (o_orderkey % 3) AS fk_table, array_to_string(list_sort(list('c' || o_orderkey)), ',') AS columns FROM orders GROUP BY ALL""")
@@ -303,10 +309,10 @@ def flows(spark: SparkSession, sf: str) -> DataFrame:
     return to(F.col("n_nationkey") * 2 + 1).unionByName(to(F.col("n_nationkey") + 3)).withColumn("type", F.lit("FLOWS_TO"))
 
 
-@query(f"""WITH RECURSIVE {FL}, p AS (SELECT dst, ['n1', dst] AS path, 1 AS hops FROM f WHERE src = 'n1' UNION ALL SELECT f.dst, list_append(path, f.dst), hops + 1 FROM p JOIN f ON f.src = p.dst WHERE hops < 4 AND NOT list_contains(path, f.dst))
+@query(f"""WITH RECURSIVE {FL}, p AS (SELECT dst, ['n1', dst] AS path, 1 AS hops FROM f WHERE src = 'n1' UNION ALL SELECT f.dst, list_append(path, f.dst), hops + 1 FROM p JOIN f ON f.src = p.dst WHERE hops < 50 AND NOT list_contains(path, f.dst))
 SELECT array_to_string(path, '>') AS path, hops FROM p""")
 def code_data_flow(spark, sf):
-    return code.data_flow(flows(spark, sf), "n1", "forward", 4).select(F.array_join("path", ">").alias("path"), "hops")
+    return code.data_flow(flows(spark, sf), "n1", "forward", 50).select(F.array_join("path", ">").alias("path"), "hops")
 
 
 @query(f"""WITH RECURSIVE {FL}, p AS (SELECT DISTINCT dst AS id, 1 AS d FROM f WHERE src IN ('n2', 'n5') UNION SELECT f.dst, d + 1 FROM p JOIN f ON f.src = p.id WHERE d < 5)
@@ -374,13 +380,14 @@ def same_as_exact(spark, sf):
 def same_as_job(spark, sf):
     own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("bucket"), F.lit("person").alias("type"))
     named = lambda n: own.where(f"id % 2 = {n}").withColumn("name", F.concat(F.lit("vector "), (F.col("id") % 97).cast("string")))
-    return resolve.same_as_links(named(0), named(1), 0.75)
+    return resolve.same_as_links(named(0), named(1), 0.75).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+@query(SQL["vector_topk"])
 def ann_probe(spark, sf):
-    q = query_vector(spark, sf)
-    return retrieval.ann_topk(retrieval.ann_index(vectors(spark, sf), len(q)), q)
+    """The nearest vectors from the index's codes: the same as from all vectors, without reading them."""
+    index = build(vectors(spark, sf))
+    return probe(index, query_vector(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
 TOPV = """q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1),

@@ -346,19 +346,20 @@ def consolidate_aliases(spark, sf):
     return resolve.consolidate(own, resolve.keeper_map(own)).select("id", "name", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("""WITH p AS (SELECT min(p_partkey) AS id, lower(p_name) AS n, lower(p_name)[1:2] AS b FROM part GROUP BY p_name)
-SELECT x.id AS a, y.id AS b, round(1 - levenshtein(x.n, y.n)::DOUBLE / greatest(length(x.n), length(y.n)), 6) AS similarity FROM p x JOIN p y USING (b)
-WHERE x.id < y.id AND (round(1 - levenshtein(x.n, y.n)::DOUBLE / greatest(length(x.n), length(y.n)), 6) > 0.6 OR contains(x.n, y.n) OR contains(y.n, x.n))""")
+@query("""WITH p AS (SELECT min(p_partkey) AS id, lower(p_name) AS n FROM part GROUP BY p_name)
+SELECT x.id AS a, y.id AS b, round(1 - levenshtein(x.n, y.n)::DOUBLE / greatest(length(x.n), length(y.n)), 6) AS similarity FROM p x JOIN p y
+ON x.id < y.id AND (round(1 - levenshtein(x.n, y.n)::DOUBLE / greatest(length(x.n), length(y.n)), 6) > 0.6 OR contains(x.n, y.n) OR contains(y.n, x.n))""")
 def levenshtein_pairs(spark, sf):
-    names = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))  # equal names are one, so blocks stay small
-    return resolve.fuzzy_pairs(names, 0.6, prefix=2)
+    names = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    return resolve.fuzzy_pairs(names, 0.6)
 
 
-@query("""SELECT a.n_name AS a, b.n_name AS b, round(jaro_winkler_similarity(lower(a.n_name), lower(b.n_name)), 6) AS similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name""")
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaro_winkler_similarity(lower(a.p_name), lower(b.p_name)), 6) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size % 10 = b.p_size % 10 AND a.p_partkey < b.p_partkey""")
 def jaro_winkler_pairs(spark, sf):
-    n = table(spark, sf, "nation").select("n_name", "n_regionkey")
-    pairs = n.withColumnRenamed("n_name", "a").join(n.withColumnRenamed("n_name", "b"), "n_regionkey").where("a < b")
-    return pairs.select("a", "b", F.round(jaro_winkler_udf(F.lower("a"), F.lower("b")), 6).alias("similarity"))
+    """Names of parts of one brand whose sizes end in one digit."""
+    p = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"), "p_brand", (F.col("p_size") % 10).alias("size"))
+    pairs = p.withColumnsRenamed({"p_partkey": "a", "name": "a_name"}).join(p.withColumnsRenamed({"p_partkey": "b", "name": "b_name"}), ["p_brand", "size"]).where("a < b")
+    return pairs.select("a", "b", F.round(jaro_winkler_udf(F.col("a_name"), F.col("b_name")), 6).alias("similarity"))
 
 
 @query(f"""WITH {CO}, b AS (SELECT co.*, canonical, trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '\\b(inc|ltd|corp|llc|co|limited|incorporated|corporation|plc|gmbh|sa|srl|bv|nv|ag)\\b\\.?', '', 'g'), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS norm FROM co JOIN ca USING (id)),
@@ -488,7 +489,7 @@ def label_propagation(spark, sf):
 
 @query()
 def community_detect(spark, sf):
-    return community.detect(model.edges(spark, sf), (1.0,), rounds=4, levels=2).groupBy("level", "community_id").agg(F.count("*").alias("size"))
+    return community.detect(model.edges(spark, sf)).groupBy("level", "community_id").agg(F.count("*").alias("size"))
 
 
 def two_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -589,13 +590,21 @@ def offset_page(spark, sf):
     return access.page(table(spark, sf, "orders").where("o_orderstatus = 'F'"), [F.col("o_orderkey")], 40, 20).select("o_orderkey", "o_custkey", "total")
 
 
-CATALOG = [("nation", "n_nationkey", True, False, None), ("nation", "n_regionkey", False, True, "region"), ("nation", "n_name", False, False, None), ("orders_parts", "order_id", False, True, "orders"), ("orders_parts", "part_id", False, True, "part"), ("orders_parts", "created_at", False, False, None), ("staff", "id", True, False, None), ("staff", "manager_id", False, True, "staff"), ("staff", "name", False, False, None)]
+#: Columns that may refer to another table's key, and the key.
+REFERS = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+CATALOG = "fk AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, '{o}' AS o WHERE NOT EXISTS (SELECT 1 FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {o}))" for t, c, o, k in REFERS) + ")"
 
 
-@query("""SELECT * FROM (VALUES ('nation', 'entity_table', 'Nation', 'n_regionkey', 'region', 'BELONGS_TO'), ('orders_parts', 'junction_table', 'OrdersParts', 'order_id', 'orders', 'BELONGS_TO'), ('orders_parts', 'junction_table', 'OrdersParts', 'part_id', 'part', 'BELONGS_TO'), ('staff', 'self_ref_table', 'Staff', 'manager_id', 'staff', 'MANAGES')) t("table", kind, label, "column", fk_table, relationship)""")
+def star_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.inferred_catalog({t: table(spark, sf, t) for t in STAR})
+
+
+@query(f"""WITH {CATALOG}, tb AS (SELECT unnest([{", ".join(f"'{t}'" for t in STAR)}]) AS t)
+SELECT tb.t AS "table", 'entity_table' AS kind, upper(tb.t[1]) || tb.t[2:] AS label, c AS "column", o AS fk_table, CASE WHEN c IS NOT NULL THEN 'BELONGS_TO' END AS relationship FROM tb LEFT JOIN fk ON fk.t = tb.t""")
 def fk_catalog_map(spark, sf):
-    catalog = spark.createDataFrame(CATALOG, "table string, column string, is_pk boolean, is_fk boolean, fk_table string")
-    return mapping.mapping_rules(catalog)
+    """Kinds of tables and types of relationships from the tables' own schemas and values."""
+    return mapping.mapping_rules(star_catalog(spark, sf))
 
 
 @query("""SELECT 'c:nation:' || n_nationkey AS src, 'c:region:' || n_regionkey AS dst, 'BELONGS_TO' AS type FROM nation""")
@@ -641,15 +650,18 @@ def moving_average(spark, sf):
     return access.moving_average(table(spark, sf, "events"), "event_type", "event_id", "value").select("event_type", F.round("ema", 6).alias("ema"))
 
 
-GRANTS = [("u1", "g1", "admin", True, None), ("u2", "g1", "viewer", True, None), ("u3", "g1", "editor", True, "1998-01-01"), ("u4", "g2", "editor", True, "2005-01-01"), ("u5", "g2", "admin", False, None)]
-
-
-@query("""SELECT * FROM (VALUES ('u1', 'g1'), ('u4', 'g2'), ('u9', 'g3')) t(user_id, graph_id)""")
+@query(f"""SELECT DISTINCT user_id, graph_id FROM (
+  SELECT 'u' || c_custkey AS user_id, 'g' || c_nationkey AS graph_id FROM customer WHERE c_custkey % 5 < 3 AND c_acctbal > 0 AND (c_custkey % 7 <> 0 OR TIMESTAMP '1998-01-01' > TIMESTAMP '{NOW}')
+  UNION ALL SELECT 'u' || s_suppkey, 'g' || s_nationkey FROM supplier)""")
 def permission_check(spark, sf):
-    grants = spark.createDataFrame(GRANTS, "user_id string, graph_id string, role string, is_active boolean, expires_at string").withColumn("expires_at", F.col("expires_at").cast("timestamp"))
+    """Who may write where: customers by roles that inherit, are active and haven't expired, suppliers as owners."""
+    c = table(spark, sf, "customer")
+    role = F.element_at(F.array(*[F.lit(x) for x in ("admin", "owner", "editor", "viewer", "guest")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    named = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    grants = c.select(named("u", "c_custkey").alias("user_id"), named("g", "c_nationkey").alias("graph_id"), role.alias("role"), (F.col("c_acctbal") > 0).alias("is_active"), F.when(F.col("c_custkey") % 7 == 0, at("1998-01-01")).alias("expires_at"))
     permissions = spark.createDataFrame([("viewer", "read"), ("editor", "write"), ("owner", "delete")], "role string, permission string")
     parents = spark.createDataFrame([("admin", "owner"), ("owner", "editor"), ("editor", "viewer")], "role string, parent string")
-    owners = spark.createDataFrame([("u9", "g3")], "user_id string, graph_id string")
+    owners = table(spark, sf, "supplier").select(named("u", "s_suppkey").alias("user_id"), named("g", "s_nationkey").alias("graph_id"))
     return access.permitted(grants, permissions, parents, owners, at(NOW), "write")
 
 
@@ -686,13 +698,18 @@ def answer_confidence(spark, sf):
     return retrieval.confidence(scores, "label").select("label", F.round("confidence", 6).alias("confidence"))
 
 
-QUESTIONS = [(1, "How many suppliers are there"), (2, "Give an overview of the market"), (3, "How is Acme Corp related to Big Data"), (4, "match the path between nodes"), (5, "Where is Paris")]
+ASKED = "CASE conv_id % 5 WHEN 0 THEN 'How many of these are there: ' WHEN 1 THEN 'Give an overview. ' WHEN 2 THEN 'How is it related to Acme Corp and ' WHEN 3 THEN 'Match the path between ' ELSE '' END || text"
 
 
-@query("""SELECT * FROM (VALUES (1, 'vector_graph', ''), (2, 'community', ''), (3, 'hybrid_graph', 'Acme Corp,Big Data'), (4, 'text2query', ''), (5, 'hybrid', 'Paris')) t(q, route, candidates)""")
+@query(rf"""WITH q AS (SELECT conv_id, turn, {ASKED} AS text FROM conversations WHERE role = 'user'),
+r AS (SELECT *, regexp_extract_all(text, '[A-Z][A-Za-z0-9&.''-]*(?:\s+[A-Z][A-Za-z0-9&.''-]*)*') AS runs FROM q)
+SELECT conv_id, turn, CASE WHEN {" OR ".join(f"contains(lower(text), '{w}')" for w in retrieval.GLOBAL)} THEN 'community' WHEN regexp_matches(text, '{retrieval.STRUCTURED}') THEN 'text2query'
+  WHEN regexp_matches(text, '{retrieval.ANALYTIC}') THEN 'vector_graph' WHEN regexp_matches(text, '{retrieval.RELATIONAL}') THEN 'hybrid_graph' ELSE 'hybrid' END AS route,
+  array_to_string(list_sort(list_distinct(list_filter(list_transform(runs, lambda r: array_to_string(list_filter(string_split_regex(r, '\s+'), lambda w: lower(w) NOT IN ({", ".join(f"'{w}'" for w in retrieval.STOPWORDS)})), ' ')), lambda r: length(r) > 1))), ',') AS candidates FROM r""")
 def question_routing(spark, sf):
-    q = spark.createDataFrame(QUESTIONS, "q int, text string")
-    return q.select("q", retrieval.route(F.col("text")).alias("route"), F.array_join(retrieval.entity_candidates(F.col("text")), ",").alias("candidates"))
+    """Each user's turn with the retriever it goes to and the names that may be entities."""
+    q = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.expr(ASKED).alias("text"))
+    return q.select("conv_id", "turn", retrieval.route(F.col("text")).alias("route"), F.array_join(F.array_sort(retrieval.entity_candidates(F.col("text"))), ",").alias("candidates"))
 
 
 @query("""SELECT role, count(*) AS turns, sum(greatest(1, length(text) // 4))::BIGINT AS tokens FROM conversations GROUP BY role""")
