@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import type_name
+from lodestar.sources import declarations
 
 DATES = ["^\\d{4}-\\d{2}-\\d{2}$", "^\\d{1,2}/\\d{1,2}/\\d{4}$", "^\\d{1,2}-\\d{1,2}-\\d{4}$", "^\\d{4}/\\d{1,2}/\\d{1,2}$"]
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".go": "go", ".java": "java"}
@@ -129,16 +130,7 @@ def manifest(path: str, text: str) -> list[tuple[str, str]]:
     return sorted((m[1], m[2] or "") for m in re.finditer(r"^([A-Za-z0-9_.-]+)\s*(?:\[[^\]]*\])?\s*([=<>!~][^#\s;]*)?", text, re.MULTILINE))
 
 
-SYMBOLS = "path string, qualified_name string, kind string, line int, parent string, decorators array<string>, edges array<struct<type:string,dst:string>>"
-
-#: Patterns of declarations by language: kind and a pattern whose first group is the name.
-DECLARATIONS = {
-    "typescript": [("class", r"\bclass\s+(\w+)"), ("function", r"\bfunction\s+(\w+)"), ("function", r"\bconst\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")],
-    "go": [("class", r"^type\s+(\w+)\s+struct"), ("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)")],
-    "java": [("class", r"\b(?:class|interface|enum)\s+(\w+)"), ("function", r"^\s+(?:public|private|protected|static|final|\s)+[\w<>\[\], ]+\s+(\w+)\s*\([^;]*\{")],
-}
-DECLARATIONS["javascript"] = DECLARATIONS["typescript"]
-
+SYMBOLS = "path string, language string, qualified_name string, kind string, line int, end_line int, parent string, decorators array<string>, edges array<struct<type:string,dst:string>>"
 
 def _dotted(node: ast.AST) -> str:
     if isinstance(node, ast.Attribute):
@@ -152,24 +144,24 @@ def python_symbols(path: str, text: str) -> list[tuple]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError):
-        return [(path, module, "module", 1, None, [], [])]
+        return [(path, "python", module, "module", 1, text.count("\n") + 1, None, [], [])]
     imports = []
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
             imports += [("IMPORTS", a.name) for a in n.names]
         elif isinstance(n, ast.ImportFrom):
             imports.append(("IMPORTS", n.module or ""))
-    out = [(path, module, "module", 1, None, [], sorted(set(imports)))]
+    out = [(path, "python", module, "module", 1, text.count("\n") + 1, None, [], sorted(set(imports)))]
 
     def visit(body: list[ast.stmt], owner: str) -> None:
         for n in body:
             if isinstance(n, ast.ClassDef):
-                out.append((path, f"{owner}.{n.name}", "class", n.lineno, owner, [_dotted(d) for d in n.decorator_list], [("INHERITS", _dotted(b)) for b in n.bases]))
+                out.append((path, "python", f"{owner}.{n.name}", "class", n.lineno, n.end_lineno, owner, [_dotted(d) for d in n.decorator_list], [("INHERITS", _dotted(b)) for b in n.bases]))
                 visit(n.body, f"{owner}.{n.name}")
             elif isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
                 name = f"{owner}.{n.name}"
                 calls = sorted({("CALLS", _dotted(c.func)) for c in ast.walk(n) if isinstance(c, ast.Call) and _dotted(c.func)})
-                out.append((path, name, "function", n.lineno, owner, [_dotted(d) for d in n.decorator_list], calls + flows(n)))
+                out.append((path, "python", name, "function", n.lineno, n.end_lineno, owner, [_dotted(d) for d in n.decorator_list], calls + flows(n)))
                 visit(n.body, name)
 
     visit(tree.body, module)
@@ -192,22 +184,13 @@ def flows(function: ast.AST) -> list[tuple[str, str]]:
     return sorted(("FLOWS_TO", f"{a}>{b}") for a, b in found if a != b)
 
 
-def text_symbols(path: str, language: str, text: str) -> list[tuple]:
-    module = re.sub(r"\.\w+$", "", path).strip("/").replace("/", ".")
-    out = [(path, module, "module", 1, None, [], sorted({("IMPORTS", a or b or c) for a, b, c in re.findall(r"""(?:from\s+|require\()['"]([^'"]+)|^import\s+(?:static\s+)?([\w.]+);|^\s*(?:import\s+)?"([\w./-]+)"$""", text, re.MULTILINE)}))]
-    for kind, pattern in DECLARATIONS.get(language, []):
-        for m in re.finditer(pattern, text, re.MULTILINE):
-            out.append((path, f"{module}.{m[1]}", kind, text.count("\n", 0, m.start()) + 1, module, [], []))
-    return out
-
-
 def extract_symbols(files: DataFrame) -> DataFrame:
-    """Symbols of source files (path, language, content); each file is parsed in the task that has it."""
+    """Symbols of source files (path, language, content); each file is parsed in the task that has it. A null content is an empty file."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            rows = [r for p, lang, t in zip(df.path, df.language, df.content, strict=True) for r in (python_symbols(p, t) if lang == "python" else text_symbols(p, lang, t))]
-            made = pd.DataFrame(rows, columns=["path", "qualified_name", "kind", "line", "parent", "decorators", "edges"])
+            rows = [r for p, lang, t in zip(df.path, df.language, df.content.fillna(""), strict=True) for r in (python_symbols(p, t) if lang == "python" else declarations.symbols(p, lang, t))]
+            made = pd.DataFrame(rows, columns=["path", "language", "qualified_name", "kind", "line", "end_line", "parent", "decorators", "edges"])
             made["edges"] = [[{"type": a, "dst": b} for a, b in e] for e in made.edges]
             yield made
 
