@@ -154,3 +154,36 @@ def word_groups(text: Column, size: int = 10) -> Column:
     """A text in groups of so many words, as an answer is delivered."""
     words = F.split(F.trim(text), "\\s+")
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))
+
+
+#: Words that tell how much a question asks for.
+COMPLEX = ["analyze", "compare", "relationship", "community", "influence", "pattern", "trend", "comprehensive", "deep dive", "correlation"]
+SIMPLE = ["what is", "who is", "when did", "where is", "define"]
+
+
+def recommend_mode(question: Column, most_seconds: Column, load: Column, preference: Column) -> Column:
+    """The search mode for a question: by its words, the seconds that it may take (null: 10), the load (0 to 1, null: 0) and whether depth or
+    speed is preferred. A null question has no words."""
+    low = F.coalesce(F.lower(question), F.lit(""))
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+    most, busy = F.coalesce(most_seconds, F.lit(10.0)), F.coalesce(load, F.lit(0.0))
+    deep, plain = has(COMPLEX), has(SIMPLE)
+    return F.when(most < 1, "fast").when(plain & ~deep & (busy < 0.5), "balanced").when(deep & (most > 5), "comprehensive").when(preference == "depth", "comprehensive").when(preference == "speed", "fast").otherwise("balanced")
+
+
+def context_confidence(retrieved: Column, analytics: Column, community: Column, temporal: Column) -> Column:
+    """0.5 and something for each part of an answer's context that is there (truth values, null: not there), at most 1."""
+    there = [F.coalesce(c, F.lit(False)).cast("int") for c in (retrieved, analytics, community, temporal)]
+    several = (there[0] + there[1] + there[2] + there[3] > 2).cast("int")
+    return F.round(F.least(F.lit(1.0), 0.5 + 0.2 * there[0] + 0.2 * there[1] + 0.1 * there[2] + 0.1 * several), 6)
+
+
+def lineage(mentions: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Where entities come from: id, doc_id, n_chunks, first_chunk. mentions: chunk_id, id; chunks: chunk_id, doc_id; documents: doc_id.
+
+    Mentions are counted by entity and chunk before they meet the chunks, so an entity that a third of all chunks name isn't shuffled
+    with its repeats; a chunk whose document is gone doesn't count.
+    """
+    once = mentions.where("id is not null").select("chunk_id", "id").distinct()
+    held = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "doc_id").join(documents.select("doc_id"), "doc_id", "left_semi")
+    return once.join(held, "chunk_id").groupBy("id", "doc_id").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))

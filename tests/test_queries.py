@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF, rows
 
-from lodestar.plans import deep, more, records, rest  # noqa: F401
+from lodestar.plans import deep, more, records, repository, rest  # noqa: F401
 from lodestar.plans.queries import QUERIES, SQL
 
 
