@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.model import table
-from lodestar.operators import codegraph, community, ingest, retrieval
+from lodestar.operators import codegraph, community, ingest, registry, retrieval
 from lodestar.plans.more import TOPV, search_inputs
 from lodestar.plans.queries import NOW, at, query, query_vector, two_levels, vectors
-from lodestar.sources import files
+from lodestar.sources import codehost, files
 
 
 def key(prefix: str, column: str):
@@ -213,3 +213,76 @@ def community_members_any_kind(spark, sf):
     docs = table(spark, sf, "documents").where("doc_id is not null").select(F.concat(F.lit("nation:"), (F.col("doc_id") % 30).cast("string")).alias("community_id"), key("chunk:", "doc_id").alias("member_id"))
     ids = docs.select("community_id").unionByName(entities.select("community_id"))
     return community.members_of_any_kind([("entity", entities), ("chunk", docs)], ids)
+
+
+# Connectors
+
+
+def host_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as issues, pull requests and commits of a repository each kind of event."""
+    e = F.col("event_id")
+    user = F.col("user_id").cast("string")
+    issue = F.struct(e.alias("number"), F.concat(F.lit("T"), user).alias("title"), F.repeat(F.lit("b"), (e % 600).cast("int")).alias("body"), F.lit("open").alias("state"),
+                     F.when(e % 7 > 0, F.struct(user.alias("login"))).alias("user"), F.array(F.struct(F.lit("x").alias("name")), F.struct(F.lit("y").alias("name"))).alias("labels"),
+                     F.when(e % 3 == 1, F.struct(F.lit("u").alias("url"))).alias("pull_request"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"))
+    commit = F.struct(F.sha1(e.cast("string")).alias("sha"), F.struct(F.repeat(F.lit("m"), (e % 400).cast("int")).alias("message"), F.struct(user.alias("name")).alias("author")).alias("commit"))
+    kind = F.when(e % 3 == 2, "commit").otherwise("issue")
+    return table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("repo"), kind.alias("kind"), F.when(e % 3 == 2, F.to_json(commit)).otherwise(F.to_json(issue)).alias("item"))
+
+
+HI = """h AS (SELECT event_id, ts, event_type AS repo, CASE event_id % 3 WHEN 2 THEN 'commit' WHEN 1 THEN 'pull_request' ELSE 'issue' END AS kind,
+CASE WHEN event_id % 3 = 2 THEN 'Commit ' || left(sha1(event_id::VARCHAR), 8) || ' in ' || event_type || ' by ' || user_id || ':' || chr(10) || left(repeat('m', (event_id % 400)::INT), 300) || chr(10)
+ELSE CASE WHEN event_id % 3 = 1 THEN 'Pull Request #' ELSE 'Issue #' END || event_id || ' in ' || event_type || ': T' || user_id || chr(10) || 'Author: ' || CASE WHEN event_id % 7 > 0 THEN user_id::VARCHAR ELSE 'unknown' END || ' | State: open | Labels: x, y' || chr(10) || left(repeat('b', (event_id % 600)::INT), 500) || chr(10) END AS text,
+CASE WHEN event_id % 3 < 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS updated_at FROM events)"""
+
+
+@query(f"""WITH {HI} SELECT event_id, kind, md5(text) AS text_md5, updated_at FROM h""")
+def host_item_texts(spark, sf):
+    return codehost.texts(host_items(spark, sf)).select("event_id", "kind", F.md5("text").alias("text_md5"), "updated_at")
+
+
+@query(f"""WITH {HI}, b AS (SELECT *, (row_number() OVER (PARTITION BY repo ORDER BY ts, event_id) - 1) // 20 AS batch FROM h)
+SELECT repo, batch, count(*) AS n, md5(string_agg(text, chr(10) || '---' || chr(10) ORDER BY ts, event_id)) AS text_md5 FROM b GROUP BY repo, batch""")
+def host_item_batches(spark, sf):
+    made = codehost.batches(codehost.texts(host_items(spark, sf)), "repo", "ts", "event_id")
+    return made.select("repo", "batch", "n", F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH {HI}, n AS (SELECT repo, max(updated_at) AS u FROM h GROUP BY repo), o AS (SELECT DISTINCT event_type AS repo, CASE WHEN length(event_type) % 2 = 0 THEN '2999-01-01T00:00:00Z' ELSE '1990-01-01T00:00:00Z' END AS c FROM events UNION ALL SELECT r_name, '1990-01-01T00:00:00Z' FROM region)
+SELECT repo, greatest(u, c) AS cursor FROM o FULL JOIN n USING (repo)""")
+def host_cursors(spark, sf):
+    """The cursor of each repository after a run; one that gave nothing keeps its own."""
+    lit = lambda y: F.lit(f"{y}-01-01T00:00:00Z")
+    old = table(spark, sf, "events").select(F.col("event_type").alias("repo")).distinct().withColumn("cursor", F.when(F.length("repo") % 2 == 0, lit(2999)).otherwise(lit(1990)))
+    old = old.unionByName(table(spark, sf, "region").select(F.col("r_name").alias("repo"), lit(1990).alias("cursor")))
+    return codehost.cursors(codehost.texts(host_items(spark, sf)), "repo", old)
+
+
+def connectors_table(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("c_custkey")
+    return table(spark, sf, "customer").where(c % 2 == 0).select(key("c", "c_custkey").alias("connector_id"), key("g", "c_nationkey").alias("graph_id"), F.lit(100).cast("bigint").alias("sample_row_limit"), F.when(c % 10 == 0, "deleted").otherwise("active").alias("status"), at("1998-01-01").alias("updated_at"))
+
+
+@query("""SELECT 'c' || c_custkey AS connector_id, 'g' || c_nationkey AS graph_id, CASE WHEN c_custkey % 2 = 0 THEN 100 ELSE least(c_custkey * 10, 1000) END AS sample_row_limit, CASE WHEN c_custkey % 2 = 0 THEN 1998 ELSE 1999 END AS updated
+FROM customer WHERE (c_custkey % 2 = 0 OR c_custkey % 3 = 0) AND c_custkey % 10 <> 0 AND c_custkey % 7 <> 0""")
+def connector_registry(spark, sf):
+    """What is listed after connectors were registered, some of them again, and others removed."""
+    c, stored = F.col("c_custkey"), connectors_table(spark, sf)
+    customers = table(spark, sf, "customer")
+    incoming = customers.where(c % 3 == 0).select(key("c", "c_custkey").alias("connector_id"), key("g", "c_nationkey").alias("graph_id"), (c * 10).alias("sample_row_limit"))
+    made = registry.remove(registry.register(stored, incoming, at(NOW)), customers.where(c % 7 == 0).select(key("c", "c_custkey").alias("connector_id")), at(NOW))
+    return registry.listed(made).select("connector_id", "graph_id", "sample_row_limit", F.year("updated_at").alias("updated"))
+
+
+@query("""WITH r AS (SELECT o_custkey, max((o_orderdate, o_orderstatus, o_orderkey)) AS m FROM orders GROUP BY o_custkey)
+SELECT 'c' || c_custkey AS connector_id, m[2] AS last_sync_status, m[3] AS last_sync_row_count, CASE WHEN m[2] = 'F' THEN 'failed' END AS last_sync_error FROM customer LEFT JOIN r ON o_custkey = c_custkey WHERE c_custkey % 2 = 0""")
+def connector_sync_status(spark, sf):
+    """Orders as results of syncs: the last one of each connector counts."""
+    results = table(spark, sf, "orders").select(key("c", "o_custkey").alias("connector_id"), F.col("o_orderdate").alias("occurred_at"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("row_count"), F.when(F.col("o_orderstatus") == "F", "failed").alias("error"))
+    return registry.synced(connectors_table(spark, sf), results).select("connector_id", "last_sync_status", "last_sync_row_count", "last_sync_error")
+
+
+@query("""SELECT connector_id, error_id FROM (SELECT 'n' || c_nationkey AS connector_id, o_orderkey AS error_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F') WHERE k <= 10""")
+def connector_errors_kept(spark, sf):
+    rows = table(spark, sf, "orders").where("o_orderstatus = 'F'").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    return registry.kept_errors(rows.select(key("n", "c_nationkey").alias("connector_id"), F.col("o_orderkey").alias("error_id"), F.col("o_orderdate").alias("occurred_at"))).select("connector_id", "error_id")

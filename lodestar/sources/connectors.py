@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from functools import partial
 from urllib.parse import urlencode
@@ -89,11 +90,28 @@ def http_get(url: str, params: dict) -> tuple[object, dict]:
         return json.load(r), {k.lower(): v for k, v in r.headers.items()}
 
 
+def paced(fetch: Callable[[dict], tuple[object, dict]], rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """fetch with at most rate calls a second, one after the other; a rate of 0 sets no limit."""
+    last = [float("-inf")]
+
+    def call(params: dict) -> tuple[object, dict]:
+        wait = last[0] + 1 / rate - clock() if rate > 0 else 0
+        if wait > 0:
+            sleep(wait)
+        last[0] = clock()
+        return fetch(params)
+
+    return call
+
+
 def _fetcher(options: dict) -> Callable:
+    """The fetch function of the options, with option rate: requests a second."""
     if "fetcher" not in options:
-        return partial(http_get, options["url"])
-    module, _, name = options["fetcher"].partition(":")
-    return getattr(importlib.import_module(module), name)
+        fetch = partial(http_get, options["url"])
+    else:
+        module, _, name = options["fetcher"].partition(":")
+        fetch = getattr(importlib.import_module(module), name)
+    return paced(fetch, float(options.get("rate", 0)))
 
 
 class _RestReader(DataSourceReader):
