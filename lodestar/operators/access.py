@@ -220,3 +220,22 @@ def workflow_instances(instances: DataFrame, workflows: DataFrame) -> DataFrame:
     by = instances.groupBy("workflow_id").agg(F.count("*").alias("instances"), F.count_if(F.col("status") == "running").alias("running"), F.max("started_at").alias("last_started_at"))
     own = workflows.join(by, "workflow_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("instances", "running")})
     return own.orderBy(F.desc_nulls_last("last_started_at"), "workflow_id")
+
+
+def matched_members(members: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of a graph store (user_id, graph_id, ...) with the columns of the users' table (user_id, ...), and what of either side was left out: side, n.
+
+    A member without a user is skipped and counted as member; users without a graph are counted as user. Null ids match nothing.
+    """
+    own = users.dropDuplicates(["user_id"])
+    found = members.join(own, "user_id")
+    lost = members.join(own.select("user_id"), "user_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("member").alias("side"), "n")
+    idle = own.join(members.select("user_id"), "user_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("user").alias("side"), "n")
+    return found, lost.unionByName(idle)
+
+
+def organisation_agents(agents: DataFrame, graphs: DataFrame, agent_grants: DataFrame, org: str) -> DataFrame:
+    """Agents (agent_id, home_graph) whose home graph is an organisation's (graph_id, org_id), with how many graphs are granted to each (agent_id, graph_id)."""
+    own = agents.join(graphs.where(F.col("org_id") == org).select(F.col("graph_id").alias("home_graph")), "home_graph", "left_semi")
+    granted = agent_grants.groupBy("agent_id").agg(F.count_distinct("graph_id").alias("n_granted"))
+    return own.join(granted, "agent_id", "left").select("agent_id", "home_graph", F.coalesce("n_granted", F.lit(0)).alias("n_granted"))

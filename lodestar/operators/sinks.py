@@ -95,6 +95,19 @@ def migrate_edge_properties(edges: DataFrame, old: DataFrame) -> DataFrame:
     return edges.join(old.select("edge_id", F.col("weight").alias("w0"), F.col("props").alias("p0")), "edge_id", "left").withColumns({"weight": F.coalesce("weight", "w0"), "props": F.coalesce("props", "p0")}).drop("w0", "p0")
 
 
+def clean_migrated(edges: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What stays of the older table (edge_id, weight, props) once its rows have been carried over, and how many were: outcome, n.
+
+    transferred: the edge has a weight and properties, or the old row had none to give, and the row goes. pending: the edge lacks something
+    that the row has. orphaned: no edge has the row's id. Pending and orphaned rows stay.
+    """
+    now = edges.select("edge_id", F.col("weight").isNotNull().alias("_w"), F.col("props").isNotNull().alias("_p"), F.lit(True).alias("_there")).dropDuplicates(["edge_id"])
+    done = (F.col("_w") | F.col("weight").isNull()) & (F.col("_p") | F.col("props").isNull())
+    outcome = F.when(F.col("_there").isNull(), "orphaned").when(done, "transferred").otherwise("pending")
+    judged = old.join(now, "edge_id", "left").withColumn("outcome", outcome)
+    return judged.where("outcome <> 'transferred'").select(*old.columns), judged.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def blobs(rows: DataFrame, column: str = "content") -> DataFrame:
     """Content-addressed: each content of a graph once, with its hash."""
     return rows.select("graph_id", F.sha2(F.col(column), 256).alias("sha256"), column).dropDuplicates(["graph_id", "sha256"])

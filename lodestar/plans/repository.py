@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.model import table
-from lodestar.operators import codegraph, community, ingest, registry, retrieval
+from lodestar.operators import access, codegraph, community, ingest, registry, retrieval, sinks
 from lodestar.plans.more import TOPV, search_inputs
 from lodestar.plans.queries import NOW, at, query, query_vector, two_levels, vectors
 from lodestar.sources import codehost, files
@@ -286,3 +286,42 @@ def connector_sync_status(spark, sf):
 def connector_errors_kept(spark, sf):
     rows = table(spark, sf, "orders").where("o_orderstatus = 'F'").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     return registry.kept_errors(rows.select(key("n", "c_nationkey").alias("connector_id"), F.col("o_orderkey").alias("error_id"), F.col("o_orderdate").alias("occurred_at"))).select("connector_id", "error_id")
+
+
+# Members, agents, summaries, migrations
+
+
+@query("""WITH m AS (SELECT o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 10000000 ELSE 0 END AS user_id FROM orders)
+SELECT 'member' AS side, count(*) AS n FROM m WHERE user_id NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'user', count(*) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM m)""")
+def members_left_out(spark, sf):
+    """Orders as memberships, a fifth of them of users that the users' table hasn't."""
+    members = table(spark, sf, "orders").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 5 == 0, 10000000).otherwise(0)).alias("user_id"), F.col("o_orderkey").alias("graph_id"))
+    return access.matched_members(members, table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"))[1]
+
+
+@query("""SELECT 'a' || s_suppkey AS agent_id, 'n' || s_nationkey AS home_graph, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 45) AS n_granted
+FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2""")
+def organisation_agents(spark, sf):
+    agents = table(spark, sf, "supplier").select(key("a", "s_suppkey").alias("agent_id"), key("n", "s_nationkey").alias("home_graph"))
+    graphs = table(spark, sf, "nation").select(key("n", "n_nationkey").alias("graph_id"), key("o", "n_regionkey").alias("org_id"))
+    grants = table(spark, sf, "lineitem").where("l_quantity > 45").select(key("a", "l_suppkey").alias("agent_id"), F.col("l_partkey").alias("graph_id"))
+    return access.organisation_agents(agents, graphs, grants, "o2")
+
+
+@query("""SELECT 'p' || l_partkey AS community_id, count(DISTINCT l_suppkey) AS n_members, CASE WHEN count(DISTINCT l_suppkey) < 2 THEN 'singleton' WHEN l_partkey % 3 = 0 THEN 'existing' ELSE 'missing' END AS work
+FROM lineitem WHERE l_quantity > 40 GROUP BY l_partkey""")
+def community_summary_work(spark, sf):
+    """Parts as communities of their suppliers: which summaries are there, which have to be made and which needn't."""
+    members = table(spark, sf, "lineitem").where("l_quantity > 40").select(key("p", "l_partkey").alias("community_id"), F.col("l_suppkey").alias("member_id"))
+    stored = table(spark, sf, "part").select(key("p", "p_partkey").alias("community_id"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(" ").alias("summary"))
+    return community.summary_work(members, stored)
+
+
+@query("""SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'orphaned' WHEN o_orderkey % 2 = 1 OR o_orderkey % 3 = 0 THEN 'transferred' ELSE 'pending' END AS outcome, count(*) AS n FROM orders GROUP BY outcome""")
+def migration_outcomes(spark, sf):
+    o = F.col("o_orderkey")
+    none = F.lit(None).cast("map<string,string>")
+    rows = table(spark, sf, "orders").select(key("e", "o_orderkey").alias("edge_id"), "o_orderkey")
+    edges = rows.where(o % 7 != 0).select("edge_id", F.when(o % 2 == 1, 1.0).alias("weight"), none.alias("props"))
+    old = rows.select("edge_id", F.when((o % 3 != 0), 2.0).alias("weight"), none.alias("props"))
+    return sinks.clean_migrated(edges, old)[1]
