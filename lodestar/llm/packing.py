@@ -10,7 +10,8 @@
 
 Ids are those of the library for the whole text, its added tokens included where their strings stand in a text. White space other
 than single characters never joins words in this tokenizer and no added token holds any, so a text's ids are those of its parts
-between spaces and newlines, one after the other; each distinct part is encoded once by the library and remembered.
+between spaces and newlines, one after the other. Texts without added tokens are cut between words, digits and marks too. Each
+distinct part of some texts is looked up once, encoded by the library unless it is remembered, and the texts' ids are gathered.
 
 Defined results: a null or empty text is the end id alone; every row of the input is packed, repeated doc_ids too; other
 columns may have any name. No rows, no sequences.
@@ -19,10 +20,10 @@ columns may have any name. No rows, no sequences.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -33,22 +34,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.llm.alignment import byte_characters
 from lodestar.llm.common import documents, released, stored
 
 SEQUENCE = 2048
 END_ID = 0
 ROUNDS = 400
-#: Distinct parts of texts that a worker remembers.
-REMEMBERED = 200_000
+#: Distinct parts of texts that a worker remembers, besides as many older ones.
+REMEMBERED = 150_000
 #: Bytes of text that a worker cuts at once.
-TEXT_AT_ONCE = 1_000_000
+TEXT_AT_ONCE = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 PLACES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def _latin(part: str) -> bool:
-    return max(part) < "\u0250" and "\u0130" not in part
+#: Words of Latin letters in which nothing but their case changes when they are normalised. The dotted capital I isn't one: its lower case ends with a mark.
+LATIN = re.compile(f"[{''.join(c for c in map(chr, range(0x180)) if c.isalpha() and c != '\u0130')}]+")
+
+#: Bytes in lower case, line ends as spaces; and which are ASCII letters, digits and other printable ASCII characters.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256)], np.uint8)
+LETTER, DIGIT, MARK = (np.array([33 <= b < 127 and kind(chr(b)) for b in range(256)]) for kind in (str.isalpha, str.isdigit, lambda c: not c.isalnum()))
+#: Second bytes of letters whose first is C3.
+SECOND = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])
+
+
+def spaced(texts: pa.Array) -> pa.Array:
+    """Texts in lower case (A-Z), with a space for each line end and between what the tokenizer cuts apart anyhow, if an ASCII character follows.
+
+    It cuts after letters, around digits, and before letters but for a mark that is an apostrophe. An added token's string is
+    found before all that, as it is written, so in texts that may have one only line ends change.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    begin, n = texts.offset, len(texts)
+    at = np.frombuffer(texts.buffers()[1], np.int64)[begin : begin + n + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    data = LOWER[raw]
+    letter, digit, mark = LETTER[data], DIGIT[data], MARK[data]
+    ends = letter.copy()  # places of letters' last bytes
+    ends[1:] |= (data[:-1] == 0xC3) & SECOND[data[1:]]
+    cut = ends[:-1] & (digit | mark)[1:]
+    cut |= digit[:-1] & (letter | digit | mark)[1:]
+    cut |= mark[:-1] & (digit | letter & np.concatenate([[False], data[:-1] != 39]))[1:]
+    marked = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+    if marked.any():
+        within = np.repeat(marked, np.diff(at))
+        data = np.where(within & (raw != 10), raw, data)
+        cut &= ~within[1:]
+    cut[at[(at > 0) & (at < len(data))] - 1] = False  # between texts
+    places = np.flatnonzero(cut) + 1
+    data, at = np.insert(data, places, 32), at + np.searchsorted(places, at)
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data))
 
 
 class PartEncoder:
@@ -60,53 +97,51 @@ class PartEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.last = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}  # ids that end a word
+        self.older: dict[str, bytes] = {}
+        self.spelt = str.maketrans({chr(b): c for c, b in byte_characters().items()})
 
-    def _encode(self, parts: list[str]) -> None:
-        """Words of ASCII letters need the library's merges alone; other Latin words go in runs, cut where a word ends; the rest one by one."""
-        model, latin, rest = self.tokenizer.model, [], []
+    def _learn(self, parts: list[str]) -> None:
+        """Latin words need the library's merges alone; other parts are encoded by it one by one."""
+        known, older, words, rest = self.known, self.older, [], []
         for p in parts:
-            if p.isascii() and p.islower() and p.isalpha():
-                self.known[p] = np.array([t.id for t in model.tokenize(p)], "<u4").tobytes()
+            if p in older:
+                known[p] = older[p]
             else:
-                (latin if p.isalpha() and _latin(p) else rest).append(p)
-        for a in range(0, len(latin), 64):
-            run = latin[a : a + 64]
-            ids = self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids
-            ends = [i + 1 for i, x in enumerate(ids) if x in self.last]
-            if len(ends) != len(run):
-                rest += run
-                continue
-            for p, i, j in zip(run, [0, *ends], ends, strict=False):
-                self.known[p] = np.array(ids[i:j], "<u4").tobytes()
+                (words if LATIN.fullmatch(p) else rest).append(p)
+        tokenize, ids, ends = self.tokenizer.model.tokenize, [], []
+        for w in words:
+            ids += [t.id for t in tokenize(w if w.isascii() and w.islower() else w.lower().encode().decode("latin-1").translate(self.spelt))]
+            ends.append(4 * len(ids))
+        made = np.array(ids, "<u4").tobytes()
+        known |= zip(words, [made[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True)
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        """Latin letters before one full stop or comma are encoded apart from it, as the tokenizer does, and so once for both.
-
-        The dotted capital I isn't among them: its lower case ends with a mark, which the tokenizer keeps with what follows.
-        """
-        ends = {p for p in missing if p[-1] in ".," and p[:-1].isalpha() and _latin(p)}
-        stems = {p[:-1] for p in ends} | {".", ","} | (missing - ends)
-        self._encode([p for p in stems if p not in self.known])
-        for p in ends:
-            self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            try:
-                text.encode("latin-1")
-                text = text if "<|" in text else text.lower()  # the tokenizer does too, but for its added tokens; beyond Latin-1 that is left to it
-            except UnicodeEncodeError:
-                pass
-            split.append(text.replace("\n", " ").split(" "))
+            known[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, parts))
+        if gaps := [k for k, x in enumerate(found) if x is None]:
+            self._learn([parts[k] for k in gaps])
+            for k in gaps:
+                found[k] = self.known[parts[k]]
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""} | dict(islice(self.known.items(), len(self.known) // 2, None))
-        if missing := set().union(*split) - self.known.keys():
-            self._learn(missing)
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+            self.known, self.older = {"": b""}, self.known
+        return found
+
+    def encode(self, texts: pa.Array | list[str | None], end: bytes = b"") -> list[bytes]:
+        """Each text's ids, and end after them. Parts are split and numbered by Arrow; a text's ids are gathered by its parts' numbers."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(spaced(texts), " ")
+        parts = split.flatten().dictionary_encode()
+        found = [*self._ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), end]
+        stops = np.cumsum(pc.list_value_length(split).to_numpy())
+        of = np.insert(parts.indices.to_numpy(), stops, len(found) - 1)  # the end after each text's parts
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins, n = (np.cumsum(lengths) - lengths)[of], lengths[of]
+        ends = np.cumsum(n)
+        at = np.repeat((begins - ends + n).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        ids, cuts = np.frombuffer(b"".join(found), "<u4")[at].tobytes(), (4 * ends[stops + np.arange(len(stops))]).tolist()
+        return [ids[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -136,8 +171,7 @@ def cut(path: str, size: int = SEQUENCE):
             ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for a, b in groups(sizes, TEXT_AT_ONCE):
-                for doc_id, ids in zip(ids_of[a:b], encoder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()]), strict=True):
-                    ids += end
+                for doc_id, ids in zip(ids_of[a:b], encoder.encode(texts.slice(a, b - a), end), strict=True):
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         piece = ids[at : at + 4 * size]
                         n = len(piece) // 4

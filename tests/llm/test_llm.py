@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,32 @@ def test_parts_encode_as_the_whole_text_does():
         assert library.encode(t, add_special_tokens=False).ids == np.frombuffer(e.encode([t])[0], "<u4").tolist()
 
 
+def test_texts_encoded_together_are_those_encoded_alone():
+    from tokenizers import Tokenizer
+
+    e, library = packing.PartEncoder(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(2)
+    signs = ["a", "Bc", "é", "É", "e\u0301", "ŉ", "\u0178", "µ", "ª", "×", "÷", "¿", "Σ", "Σ.", "İ", "Ⱥ", "K", "'", "'s", "'LL", "''", ".", ",%%%", "(", "#", "<", "|", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "7", "12", "²", "½", " ", "  ", "\n", "\r\n", "\t", "\x00", "\x1c", "\x85", "\xa0", "\u0301", "日", "\U0001f600", "~", "\x7f"]
+    texts = [None, ""] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(5000)] + ["", None]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids + [7], "<u4").tobytes() for t in texts]
+    column = pa.array(["cut off", *texts, "x"]).slice(1, len(texts))
+    assert e.encode(column, np.array([7], "<u4").tobytes()) == want
+    assert [e.encode([t], np.array([7], "<u4").tobytes())[0] for t in texts] == want
+
+
+def test_words_are_learned_once_whatever_stands_around_them_and_while_they_are_used(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    e, asked = packing.PartEncoder(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda parts: (asked.update(p for p in parts if p not in getattr(e, "older", {})), learn(parts))[1])
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for k in range(60):
+        fresh = [f"{letters[k % 26]}{letters[k // 26]}q{letters[j]}" for j in range(20)]
+        e.encode(["Often, often. OFTEN!! (often) often7 often's " + " ".join(fresh)])
+        assert len(e.known) <= 100 + 40
+    assert {p: n for p, n in asked.items() if "often" in p.lower()} == {"often": 1}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_use_every_piece_once(seed):
     rng = np.random.default_rng(seed)
