@@ -27,7 +27,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -41,6 +41,8 @@ from lodestar.llm.common import documents, released, stored
 BLOCK_BYTES, REMEMBERED, LONGEST, AT_ONCE = 6_000_000, 200_000, 80, 100_000
 #: A pair of ids is one number, A's before B's.
 B_BITS = 32
+#: Marks that A cuts from a letter before them, and so does B unless one of its pieces has them after a letter.
+MARKS = ".,!?;:%&*#"
 
 #: A part: white space, and what follows up to a space that comes after something else. Python counts more characters as white space than the tokenizers do, which only makes parts longer.
 PART = re.compile(r"\s*\S*(?:[^\S ]\s*\S*)*")
@@ -112,13 +114,15 @@ class Aligner:
         self.a_bytes = [b""] * (last + 1)
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(spelt[c] for c in token) if all(c in spelt for c in token) else token.encode()
-        self.b_bytes = []
+        self.b_bytes, spanned = [], set()
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if "▁" in piece.lstrip("▁"):
                 raise ValueError(f"the piece {piece!r} has a space mark after another character")
+            spanned.update(y for x, y in pairwise(piece) if x.isalpha())
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_length, self.b_length = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        self.marks = "".join(m for m in MARKS if m not in spanned)
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
@@ -131,25 +135,58 @@ class Aligner:
             if len(parts) == 1:
                 yield None
             else:
-                for p in parts:
-                    yield from self._several([p])
+                half = len(parts) // 2
+                yield from self._several(parts[:half])
+                yield from self._several(parts[half:])
             return
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         ends = np.cumsum([len(p) for p in parts] if joined.isascii() else [len(p.encode()) for p in parts])
         yield from aligned(a, self.a_length[a].cumsum(), b, self.b_length[b].cumsum(), ends)
 
+    def _stem(self, part: str) -> str:
+        """The part without up to four marks at its end, if they follow a letter: both tokenizers end a token there. Else nothing."""
+        if part[-1] not in self.marks or len(part) > LONGEST:
+            return ""
+        stem = part.rstrip(self.marks)
+        return stem if len(part) - len(stem) <= 4 and stem[-1:].isalpha() and stem[-1] < "\u0180" else ""
+
+    def _tail(self, marks: str) -> tuple | None:
+        """What marks after a letter have."""
+        both, letter = next(self._several([" a" + marks])), next(self._several([" a"]))
+        return both and (*[x - y for x, y in zip(both[:3], letter[:3], strict=True)], both[3][len(letter[3]) + 1 :], both[4][len(letter[4]) :])
+
     def learn(self, parts: list[str]) -> list[tuple | None]:
-        """What is known of the parts. Short ones are remembered: those that were asked for since REMEMBERED others were, at least."""
-        known, older, missing, alone = self.known, self.older, [], []
+        """What is known of the parts. Short ones are remembered: those that were asked for since REMEMBERED others were, at least.
+
+        A word with marks at its end is put together from the word and the marks, so only these are encoded and remembered.
+        """
+        known, older, wanted, apart, alone = self.known, self.older, {}, {}, []
         for p in parts:
             if p not in known:
                 if p in older:
                     known[p] = older[p]
+                elif stem := self._stem(p):
+                    apart[p] = stem, p[len(stem) :]
+                    wanted |= dict.fromkeys(apart[p])
+                elif len(p) > LONGEST or p[-1].isspace():
+                    alone.append(p)
+                else:
+                    wanted[p] = None
+        missing = []
+        for p in wanted:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                elif p[0] in self.marks:  # parts begin with white space
+                    known[p] = self._tail(p)
                 else:
-                    (alone if len(p) > LONGEST or p[-1].isspace() else missing).append(p)
+                    missing.append(p)
         for at in range(0, len(missing), 2000):
             known |= zip(missing[at : at + 2000], self._several(missing[at : at + 2000]), strict=True)
         found = {p: next(self._several([p])) for p in alone}
+        for p, (stem, tail) in apart.items():
+            x, y = known[stem], known[tail]
+            found[p] = (x[0] + y[0], x[1] + y[1], x[2] + y[2], f"{x[3]};{y[3]}", x[4] + y[4]) if x and y else None
         out = [known[p] if p in known else found[p] for p in parts]
         if len(known) > REMEMBERED:
             self.known, self.older = {}, known
@@ -222,29 +259,40 @@ class Block:
         self.used: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        digest, seen = hashlib.sha256(), []
-        for some in parts_of(text) if text else ():
-            self.bytes += sum(map(len, some))
+    def _learn(self) -> None:
+        if new := self.numbers.new:
+            first = len(self.texts)
+            for k, x in enumerate(self.aligner.learn(new), first):
+                if x is None:
+                    self.wrong.add(k)
+                sizes, groups, links = (x[:3], x[3], x[4]) if x else ((0, 0, 0), "", [])
+                self.sizes.append(sizes)
+                self.texts.append(groups)
+                self.links.append(links)
+            new.clear()
+
+    def _read(self, text: str) -> Iterator[list[int]]:
+        for some in parts_of(text):
             at = list(map(self.numbers.__getitem__, some))
-            if new := self.numbers.new:
-                first = len(self.texts)
-                for k, x in enumerate(self.aligner.learn(new), first):
-                    if x is None:
-                        self.wrong.add(k)
-                    sizes, groups, links = (x[:3], x[3], x[4]) if x else ((0, 0, 0), "", [])
-                    self.sizes.append(sizes)
-                    self.texts.append(groups)
-                    self.links.append(links)
-                new.clear()
-            if self.wrong and not self.wrong.isdisjoint(at):
-                seen = []
-                break
-            digest.update((";" * bool(seen) + ";".join(map(self.texts.__getitem__, at))).encode())
-            seen.append(np.array(at, np.int64))
-        used, times = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for out, x in ((self.ids, doc_id), (self.digests, digest.hexdigest() if seen else ""), (self.used, used), (self.times, times)):
-            out.append(x)
+            self._learn()
+            yield at
+
+    def add(self, rows: list[tuple[int | None, str | None]]) -> None:
+        """Short texts' parts are learned together, those of a long one as they are read."""
+        short = [[list(map(self.numbers.__getitem__, some)) for some in parts_of(t)] if t and len(t) < AT_ONCE else None for _, t in rows]
+        self._learn()
+        for (doc_id, text), numbers in zip(rows, short, strict=True):
+            digest, seen = hashlib.sha256(), []
+            self.bytes += len(text) + 1 if text else 0
+            for at in numbers or (self._read(text) if text else ()):
+                if self.wrong and not self.wrong.isdisjoint(at):
+                    seen = []
+                    break
+                digest.update((";" * bool(seen) + ";".join(map(self.texts.__getitem__, at))).encode())
+                seen.append(np.array(at, np.int64))
+            used, times = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for out, x in ((self.ids, doc_id), (self.digests, digest.hexdigest() if seen else ""), (self.used, used), (self.times, times)):
+                out.append(x)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
@@ -274,11 +322,17 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, size: int = BLOCK_BYTES) -
         block = Block(aligner)
         gc.disable()  # else it goes through all that is remembered again and again; nothing here has cycles
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                block.add(doc_id.as_py(), text.as_py())
-                if block.bytes >= size:
-                    yield from block.batches()
-                    block = Block(aligner)
+            rows, waiting = [], 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows.append((doc_id, text))
+                waiting += len(text or "")
+                if waiting >= min(size, AT_ONCE):
+                    block.add(rows)
+                    rows, waiting = [], 0
+                    if block.bytes >= size:
+                        yield from block.batches()
+                        block = Block(aligner)
+            block.add(rows)
         if block.ids:
             yield from block.batches()
         gc.enable()

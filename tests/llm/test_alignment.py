@@ -118,3 +118,26 @@ def test_groups_are_components_of_the_overlap_graph():
         low, high = sorted((plain[i], plain[j]))
         plain = [low if x == high else x for x in plain]
     assert root.tolist() == plain
+
+
+def test_words_are_encoded_once_whatever_marks_end_them(libraries, monkeypatch):
+    aligner = L.Aligner(A, B)
+    encoded, several = [], aligner._several
+    monkeypatch.setattr(aligner, "_several", lambda parts: (encoded.extend(parts), several(parts))[1])
+    block = L.Block(aligner)
+    words = ["naïve", "Maß", "often", "X"]
+    clean = [(k, f"x {w}{m} y") for k, (w, m) in enumerate((w, m) for w in words for m in ("", ".", ",", "!!", ",%%%", "?!;:", ".....", ")", "'s.", "7.", ".\n"))]
+    block.add(clean)
+    assert [encoded.count(f" {w}") for w in words] == [1] * 4 and not {" often.", " often,%%%"} & {*encoded}
+    odd = [(100, "▁often. x"), (101, None), (102, "X² ², ́. often\u0301. ª. ﬁ."), (103, " ".join(t for _, t in clean))]
+    block.add(odd)
+    got = [(r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups_sha256"]) for made in block.batches() for r in made.to_pylist() if r["keys"] is None]
+    assert got == [(d, *n, digest) for d, *n, _, _, digest in plain(libraries, clean + odd)]
+
+
+def test_short_texts_are_learned_together(monkeypatch):
+    asked, learn = [], L.Aligner.learn
+    monkeypatch.setattr(L.Aligner, "learn", lambda self, parts: (asked.append(list(parts)), learn(self, parts))[1])
+    block = L.Block(L.Aligner(A, B))
+    block.add([(k, f"some word{k} here") for k in range(50)])
+    assert len(asked) == 1 and len(asked[0]) == 52
