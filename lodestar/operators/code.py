@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,8 +86,12 @@ def symbols_page(symbols: DataFrame, kind: str | None = None, language: str | No
     return page(own, [F.col("qualified_name")], offset, limit)
 
 
-def file_delta(files: DataFrame, stored: DataFrame) -> DataFrame:
-    """path and status (new, changed, unchanged, removed) by the hashes of files (path, content_hash)."""
-    a, b = files.select("path", F.col("content_hash").alias("now")), stored.select("path", F.col("content_hash").alias("was"))
-    status = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "removed").when(F.col("now") == F.col("was"), "unchanged").otherwise("changed")
-    return a.join(b, "path", "full").select("path", status.alias("status"))
+def file_delta(files: DataFrame, stored: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
+    """by and status (new, changed, unchanged, removed) by the hashes of files (by, content_hash). by tells the files of a side apart: paths,
+    or other columns too where several files have one path. A null path is one too, and a file with a null hash is there."""
+    side = lambda df, mark, value: df.select(*[F.col(c).alias(f"{mark}{c}") for c in by], F.col("content_hash").alias(value), F.lit(True).alias(f"has_{value}"))
+    a, b = side(files, "a_", "now"), side(stored, "b_", "was")
+    same = reduce(Column.__and__, [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in by])
+    status = F.when(F.col("has_was").isNull(), "new").when(F.col("has_now").isNull(), "removed").when(F.col("now").eqNullSafe(F.col("was")), "unchanged").otherwise("changed")
+    key = lambda c: F.when(F.col("has_now").isNull(), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
+    return a.join(b, same, "full").select(*[key(c) for c in by], status.alias("status"))
