@@ -152,8 +152,9 @@ def cache_key(graph_id: Column, question: Column, kind: Column) -> Column:
 
 def word_groups(text: Column, size: int = 10) -> Column:
     """A text in groups of so many words, as an answer is delivered."""
-    words = F.split(F.trim(text), "\\s+")
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))
+    groups = lambda words: F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))
+    # As an element of an array the words are a value that the groups share; as an expression they would be split anew for each group
+    return F.element_at(F.transform(F.array(F.split(F.trim(text), "\\s+")), groups), 1)
 
 
 #: Words that tell how much a question asks for.
