@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,9 +15,10 @@ from lodestar.operators.joins import edit_pairs
 from lodestar.operators.traverse import held, scratch
 from lodestar.operators.vectors import knn
 
-#: Weights of the four signals, the decision bands, and pairs of types that count half.
+#: Weights of the four signals, the decision bands, how many pairs a task should make, and pairs of types that count half.
 SIGNALS = {"embedding": 0.4, "name": 0.3, "type": 0.2, "context": 0.1}
 STORE, AMBIGUOUS = 0.85, 0.60
+PAIRS_PER_TASK = 10_000_000
 COMPATIBLE = [("organization", "company"), ("person", "individual"), ("location", "place")]
 
 
@@ -223,6 +225,29 @@ def same_as_links(nodes: DataFrame, others: DataFrame, least: float = STORE, nea
     return exact.unionByName(scored.where(F.col("confidence") >= least))
 
 
+def name_scores(names: DataFrame, by: list[str], score: Callable[[Column, Column], Column]) -> DataFrame:
+    """a < b and similarity, to six places, of all rows (id, name, by) with equal by.
+
+    Rows of one name are a class, and two classes are scored once, however many pairs of rows they have. Scored classes then meet their
+    rows by the class, so no task has a whole key of by. A null name gives a null similarity; a null in by or id, no pair.
+    """
+    rows = names.select("id", "name", *by).dropna(subset=["id", *by])
+    found = rows.groupBy(*by, "name").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    classes = held(found.withColumn("class", F.monotonically_increasing_id()))
+    side = lambda c: classes.select(*by, F.col("name").alias(f"{c}_name"), F.col("class").alias(c), F.col("first").alias(f"{c}_first"), F.col("last").alias(f"{c}_last"))
+    both = side("x").join(side("y"), by).where("x_first < y_last")  # else no a of x is before a b of y
+    similarity = F.when(F.col("x_name").isNotNull() & F.col("y_name").isNotNull(), F.round(score(F.col("x_name"), F.col("y_name")), 6))
+    scored = held(both.select("x", "y", similarity.alias("similarity")))
+    same = [rows[c] == classes[c] for c in by] + [rows["name"].eqNullSafe(classes["name"])]
+    members = held(rows.join(classes, same).select("id", "class"))
+    of = lambda c, at: members.select(F.col("id").alias(c), F.col("class").alias(at))
+    # What meets is small beside the pairs that come of it, so its size is no measure for the number of partitions
+    pairs = classes.groupBy(*by).agg(F.sum("n").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0.0
+    parts = max(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs / PAIRS_PER_TASK) + 1)
+    near = scored.repartition(parts, "x").join(of("a", "x"), "x").select("a", "y", "similarity").repartition(parts, "y")
+    return near.join(of("b", "y"), "y").where("a < b").select("a", "b", "similarity")
+
+
 def federated_search(nodes: DataFrame, graph_ids: list[str], term: str, per_graph: int = 50) -> DataFrame:
     """Nodes of the graphs whose name has the term, so many of each graph."""
     own = nodes.where(F.col("graph_id").isin(graph_ids)).where(F.lower("name").contains(term.lower()))

@@ -357,9 +357,8 @@ def levenshtein_pairs(spark, sf):
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaro_winkler_similarity(lower(a.p_name), lower(b.p_name)), 6) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size % 10 = b.p_size % 10 AND a.p_partkey < b.p_partkey""")
 def jaro_winkler_pairs(spark, sf):
     """Names of parts of one brand whose sizes end in one digit."""
-    p = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"), "p_brand", (F.col("p_size") % 10).alias("size"))
-    pairs = p.withColumnsRenamed({"p_partkey": "a", "name": "a_name"}).join(p.withColumnsRenamed({"p_partkey": "b", "name": "b_name"}), ["p_brand", "size"]).where("a < b")
-    return pairs.select("a", "b", F.round(jaro_winkler_udf(F.col("a_name"), F.col("b_name")), 6).alias("similarity"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), "p_brand", (F.col("p_size") % 10).alias("size"))
+    return resolve.name_scores(p, ["p_brand", "size"], jaro_winkler_udf)
 
 
 @query(f"""WITH {CO}, b AS (SELECT co.*, canonical, trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '\\b(inc|ltd|corp|llc|co|limited|incorporated|corporation|plc|gmbh|sa|srl|bv|nv|ag)\\b\\.?', '', 'g'), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS norm FROM co JOIN ca USING (id)),
