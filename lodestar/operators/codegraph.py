@@ -9,10 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.operators.graph import both_ends
+from lodestar.operators.traverse import held as kept
 
 #: The labels of a code graph.
 LABELS = {"class": "Class", "function": "Function"}
 FILE, MODULE, PACKAGE = "File", "CodeModule", "Dependency"
+#: Rows up to which a counted side is sent to all tasks.
+FEW = 10_000
+
+
+def _sent(rows: DataFrame, few: bool) -> DataFrame:
+    """The side of a join to be sent to all tasks if its rows were counted and are few, else never: from files' sizes Spark takes millions of names for little."""
+    return F.broadcast(rows) if few else rows.hint("merge")
 
 
 def _last(name: str) -> Column:
@@ -26,12 +34,14 @@ def resolved(uses: DataFrame, symbols: DataFrame) -> DataFrame:
     uses have is one row in the search. Names that nothing has are left out.
     """
     known = symbols.select("qualified_name").distinct()
-    names = uses.select("name").distinct()
-    exact = names.join(known, names["name"] == known["qualified_name"]).select("name", F.col("qualified_name").alias("dst"))
-    rest = names.join(exact, "name", "left_anti").withColumn("last", _last("name"))
-    near = rest.join(known.withColumn("last", _last("qualified_name")), "last").where(F.endswith("qualified_name", F.concat(F.lit("."), "name")))
+    names = kept(uses.select("name").distinct())
+    few = names.count() <= FEW
+    exact = known.join(_sent(names, few), names["name"] == known["qualified_name"]).select("name", F.col("qualified_name").alias("dst"))
+    exact = kept(exact)
+    rest = names.join(_sent(exact, few), "name", "left_anti").withColumn("last", _last("name"))
+    near = known.withColumn("last", _last("qualified_name")).join(_sent(rest, few), "last").where(F.endswith("qualified_name", F.concat(F.lit("."), "name")))
     found = exact.unionByName(near.groupBy("name").agg(F.min("qualified_name").alias("dst")))
-    return uses.join(found, "name")
+    return uses.join(_sent(found, few), "name")
 
 
 def graph(files: DataFrame, symbols: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,15 +56,20 @@ def graph(files: DataFrame, symbols: DataFrame, dependencies: DataFrame) -> tupl
     text = lambda **of: F.map_filter(F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull())
     once = symbols.where("path is not null and qualified_name is not null")
     once = once.withColumn("_k", F.row_number().over(W.partitionBy("qualified_name", "kind").orderBy("path", "line"))).where("_k = 1").drop("_k")
+    once = kept(once)  # files are parsed once
     named = once.where(F.col("kind").isin(*LABELS))
     uses = once.select("path", "kind", F.col("qualified_name").alias("src"), F.posexplode("edges").alias("place", "e")).select("path", "kind", "src", "place", F.col("e.type").alias("type"), F.col("e.dst").alias("name")).where("name is not null and name <> ''")
 
     modules = once.where("kind = 'module'")
     imports = uses.where("type = 'IMPORTS'").select("path", "name").distinct()
-    internal = imports.join(modules.select(F.col("qualified_name").alias("name")), "name", "left_semi")
-    external = imports.join(modules.select(F.col("qualified_name").alias("name")), "name", "left_anti")
+    # Each imported name is looked up once, however many files import it
+    asked = kept(imports.select("name").distinct())
+    few = asked.count() <= FEW
+    own_names = kept(modules.select(F.col("qualified_name").alias("name")).join(_sent(asked, few), "name", "left_semi"))
+    internal = imports.join(_sent(own_names, few), "name", "left_semi")
+    external = imports.join(_sent(own_names, few), "name", "left_anti")
     importing = modules.where(F.exists("edges", lambda e: e["type"] == "IMPORTS")).select("qualified_name", "language").unionByName(
-        modules.join(internal.select(F.col("name").alias("qualified_name")), "qualified_name", "left_semi").select("qualified_name", "language")).distinct()
+        modules.join(_sent(own_names.withColumnRenamed("name", "qualified_name"), few), "qualified_name", "left_semi").select("qualified_name", "language")).distinct()
 
     listed = dependencies.where("name is not null").groupBy("name").agg(F.max("version").alias("version"))
     packages = listed.join(external.select("name").distinct().withColumn("used", F.lit(True)), "name", "full").select("name", F.coalesce("version", F.lit("")).alias("version"))
@@ -70,12 +85,12 @@ def graph(files: DataFrame, symbols: DataFrame, dependencies: DataFrame) -> tupl
     edge = lambda rows, src, kind, dst, props: rows.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"), props.alias("props"))
     own = F.concat(F.col("kind"), F.lit(":"), "qualified_name")
     at = lambda kind, column: F.concat(F.lit(f"{kind}:"), F.col(column))
-    inside = named.where("kind = 'function'").join(named.where("kind = 'class'").select(F.col("qualified_name").alias("parent")).distinct(), "parent", "left_semi")
+    inside = named.where("kind = 'function'").join(named.where("kind = 'class'").select(F.col("qualified_name").alias("parent")).distinct().hint("merge"), "parent", "left_semi")
     bases = resolved(uses.where("type = 'INHERITS' and kind = 'class'"), named.where("kind = 'class'")).groupBy("src", "dst").agg(F.min("place").alias("place"))
     calls = resolved(uses.where("type = 'CALLS' and kind = 'function'"), named.where("kind = 'function'")).groupBy("src", "dst").agg(F.count_distinct("name").alias("n"))
     none = F.create_map().cast("map<string,string>")
     edges = [
-        edge(named.join(held.select("path"), "path", "left_semi"), own, "DEFINED_IN", at("file", "path"), text(line=F.col("line"), end_line=F.col("end_line"))),
+        edge(named.join(held.select("path").hint("merge"), "path", "left_semi"), own, "DEFINED_IN", at("file", "path"), text(line=F.col("line"), end_line=F.col("end_line"))),
         edge(inside, own, "METHOD_OF", at("class", "parent"), none),
         edge(internal, at("file", "path"), "IMPORTS", at("module", "name"), none),
         edge(external, at("file", "path"), "IMPORTS", at("package", "name"), none),
