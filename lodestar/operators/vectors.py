@@ -27,7 +27,9 @@ from lodestar.operators.traverse import held, scratch
 #: Vectors on which cells are fitted, the most cells, and rows of a cell that are wished for.
 SAMPLE, CELLS, PER_CELL = 50_000, 1024, 1000
 #: Vectors of a pack of the nearest-neighbour join, packs of a block of its directory, and what bounds yield to rounding.
-PACK, DIRECTORY, ROOM = 2048, 256, 1e-7
+PACK, DIRECTORY, ROOM = 8192, 256, 1e-7
+#: Distances of two packs that are computed at once.
+AT_ONCE = 4_000_000
 
 
 def unit(rows: list, width: int) -> np.ndarray:
@@ -213,11 +215,11 @@ def federated_topk(index: Index, query: list[float], graph_ids: list, graph: str
 # Nearest neighbours of many vectors
 
 
-PACKED = "array<struct<id:{0},vec:array<double>>>"
+PACKED = "array<struct<id:{0},vec:array<{1}>>>"
 
 
-def _packs(rows: DataFrame, centres: np.ndarray, width: int, size: int) -> DataFrame:
-    """by, pack, ids, vecs, centre, radius: rows (by, id, embedding) in packs of about size, of one by and one cell."""
+def _packs(rows: DataFrame, centres: np.ndarray, width: int, size: int, number: str) -> DataFrame:
+    """by, pack, rows, centre, radius: rows (by, id, embedding) in packs of about size, of one by and one cell, or of several where a by has fewer rows than the cells times size."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,9 +227,12 @@ def _packs(rows: DataFrame, centres: np.ndarray, width: int, size: int) -> DataF
             yield pa.record_batch([*batch.columns, pa.array((x @ centres.T).argmax(1).astype(np.int32))], [*batch.schema.names, "cell"])
 
     placed = held(rows.mapInArrow(assign, StructType([*rows.schema.fields, StructField("cell", IntegerType())])))
+    # Packs far below size would each be sent all that is asked: a small by takes its cells together
+    packs = placed.groupBy("by").agg(F.ceil(F.count("*") / size).cast("int").alias("packs"))
+    placed = placed.join(packs, "by").withColumn("cell", F.col("cell") % F.col("packs")).drop("packs")
     pieces = placed.groupBy("by", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias("pieces"))
     numbered = placed.join(pieces, ["by", "cell"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    packs = numbered.groupBy("by", "cell", "piece").agg(F.collect_list(F.struct("id", F.col("embedding").cast("array<double>").alias("vec"))).alias("rows"))
+    packs = numbered.groupBy("by", "cell", "piece").agg(F.collect_list(F.struct("id", F.col("embedding").cast(f"array<{number}>").alias("vec"))).alias("rows"))
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,8 +262,10 @@ def knn(left: DataFrame, right: DataFrame, k: int, by: list[str] | None = None,
     others = held(others)
     own = held(named(left))
     asked = held(own.groupBy("by", "embedding").agg(F.min("id").alias("id")).select("by", "id", "embedding"))
-    centres = fit_cells(others, width, rounds=rounds)
-    packs, queries = _packs(others, centres, width, size), _packs(asked, centres, width, size)
+    largest = others.groupBy("by").count().agg(F.max("count")).first()[0] or 0
+    centres = fit_cells(others, width, min(CELLS, max(1, -(-largest // size))), rounds)
+    number = "float" if all(df.schema["embedding"].dataType.simpleString() == "array<float>" for df in (left, right)) else "double"
+    packs, queries = _packs(others, centres, width, size, number), _packs(asked, centres, width, size, number)
     directory = packs.select("by", "pack", "centre", "radius", F.size("rows").alias("n")).withColumn("part", F.floor((F.row_number().over(W.partitionBy("by", F.pmod("pack", F.lit(64))).orderBy("pack")) - 1) / (DIRECTORY / 64)))
     directory = held(directory.groupBy("by", "part").agg(F.collect_list(F.struct("pack", "centre", "radius", "n")).alias("roots")))
     kind = right.schema["id"].dataType.simpleString()
@@ -279,27 +286,29 @@ def knn(left: DataFrame, right: DataFrame, k: int, by: list[str] | None = None,
                         if at:
                             yield pa.RecordBatch.from_pylist([{"pack": r["pack"], "asked": [row["rows"][i] for i in at], "reach": reach[at].tolist()}], schema)
 
-        schema = pa.schema([("pack", pa.int64()), ("asked", pa.list_(pa.struct([("id", arrow), ("vec", pa.list_(pa.float64()))]))), ("reach", pa.list_(pa.float64()))])
+        schema = pa.schema([("pack", pa.int64()), ("asked", pa.list_(pa.struct([("id", arrow), ("vec", pa.list_(pa.float32() if number == "float" else pa.float64()))]))), ("reach", pa.list_(pa.float64()))])
         return run
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                x, y = unit([r["vec"] for r in row["asked"]], width), unit([r["vec"] for r in row["rows"]], width)
-                d = np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
-                reach = np.array(row["reach"])
-                if d.shape[1] > wanted:
-                    reach = np.minimum(reach, np.partition(d, wanted - 1, 1)[:, wanted - 1])
-                i, j = np.nonzero(d <= reach[:, None] + ROOM)
-                ids, theirs = [r["id"] for r in row["asked"]], [r["id"] for r in row["rows"]]
-                yield pa.record_batch([pa.array([ids[p] for p in i.tolist()], arrow), pa.array([theirs[p] for p in j.tolist()], arrow), pa.array(d[i, j])], ["q", "b", "distance"])
+                y, theirs = unit([r["vec"] for r in row["rows"]], width), [r["id"] for r in row["rows"]]
+                step = max(1, AT_ONCE // len(y))
+                for at in range(0, len(row["asked"]), step):
+                    some = row["asked"][at : at + step]
+                    d = np.sqrt(np.maximum(2 - 2 * (unit([r["vec"] for r in some], width) @ y.T), 0))
+                    reach = np.array(row["reach"][at : at + step])
+                    if d.shape[1] > wanted:
+                        reach = np.minimum(reach, np.partition(d, wanted - 1, 1)[:, wanted - 1])
+                    i, j = np.nonzero(d <= reach[:, None] + ROOM)
+                    yield pa.record_batch([pa.array([some[p]["id"] for p in i.tolist()], arrow), pa.array([theirs[p] for p in j.tolist()], arrow), pa.array(d[i, j])], ["q", "b", "distance"])
 
     arrow = to_arrow_type(right.schema["id"].dataType)
 
     def once(first: bool, reach: DataFrame | None) -> DataFrame:
         sent = queries.withColumn("reach", F.lit(None).cast("array<double>")) if reach is None else queries.join(reach, "pack")
         pairs = sent.select("by", "rows", "centre", "reach").join(directory, "by").select("rows", "centre", "reach", "roots")
-        routed = pairs.mapInArrow(route(first), f"pack long, asked {PACKED.format(kind)}, reach array<double>")
+        routed = pairs.mapInArrow(route(first), f"pack long, asked {PACKED.format(kind, number)}, reach array<double>")
         return held(routed.join(packs.select("pack", "rows"), "pack").select("asked", "rows", "reach").mapInArrow(meet, f"q {kind}, b {kind}, distance double"))
 
     early = once(True, None)
